@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, pii, sharding, toxicity
+from . import decontamination, ngram_join, pii, sharding, substrings, toxicity
 from .common import table
 
 #: Names of the shards that documents are placed on.
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.pairs(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii)}
 
 
 def _sharding_sql() -> str:
