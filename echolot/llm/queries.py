@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, pii, sharding, substrings, toxicity
+from . import decontamination, neighbours, ngram_join, packing, pii, sharding, substrings, toxicity
 from .common import table
 
 #: Names of the shards that documents are placed on.
@@ -43,8 +43,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_nearest_neighbours)}
 
 
 def _sharding_sql() -> str:
