@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, neighbours, ngram_join, packing, pii, sharding, substrings, toxicity
+from . import boilerplate, decontamination, neighbours, ngram_join, packing, pii, sharding, substrings, toxicity
 from .common import table
 
 #: Names of the shards that documents are placed on.
@@ -47,8 +47,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_nearest_neighbours, op10_html_extraction)}
 
 
 def _sharding_sql() -> str:
