@@ -204,5 +204,6 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     with a null id stay, as do all rows that repeat a kept id.
     """
     found = pairs(docs, doc_id, text, **options)
-    lost = components(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).where("doc_id <> component").select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, F.col(f"`{doc_id}`") == F.col("__lost"), "left_anti")
+    lost = stored(components(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).where("doc_id <> component").select(F.col("doc_id").alias("__lost")))
+    few = lost.count() * 32 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(lost) if few else lost, F.col(f"`{doc_id}`") == F.col("__lost"), "left_anti")

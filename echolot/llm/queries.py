@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, decontamination, neighbours, ngram_join, packing, pii, sharding, substrings, toxicity
+from . import boilerplate, decontamination, licenses, neighbours, ngram_join, packing, pii, sharding, substrings, toxicity
 from .common import table
 
 #: Names of the shards that documents are placed on.
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_nearest_neighbours, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_ngram_jaccard_join, op4_sharding, op5_toxicity, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_nearest_neighbours, op10_html_extraction)}
 
 
 def _sharding_sql() -> str:
