@@ -36,7 +36,7 @@ SORT_BYTES = 64 << 20
 #: Bytes of a list of positions that is broadcast, at most.
 BROADCAST_BYTES = 64 << 20
 
-REPEATS = "doc_id long, start_word int, words int, occurrences long, repeat_id long"
+REPEATS = "name long, start_word int, words int, occurrences long, repeat_id long"
 
 
 def _inside(w: Words, n: int) -> np.ndarray:
@@ -84,14 +84,15 @@ def _batch(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()], list(columns))
 
 
-def _send(buckets: int, bucket: np.ndarray, ids: np.ndarray, names: np.ndarray, row: np.ndarray, pos: np.ndarray, hashes: np.ndarray, left: np.ndarray | None) -> pa.RecordBatch:
+def _send(buckets: int, bucket: np.ndarray, ids: np.ndarray, names: np.ndarray, weights: np.ndarray, row: np.ndarray, pos: np.ndarray, hashes: np.ndarray, left: np.ndarray | None) -> pa.RecordBatch:
     """One row for each bucket: arrays of its places, with each text's id and name once."""
-    out: dict[str, list] = {"bucket": [], "ids": [], "names": [], "row": [], "pos": [], "hash": [], "left": []}
+    out: dict[str, list] = {"bucket": [], "ids": [], "names": [], "weights": [], "row": [], "pos": [], "hash": [], "left": []}
     for b, some in _by_bucket(bucket, buckets):
         rows, local = np.unique(row[some], return_inverse=True)
         out["bucket"].append(b)
         out["ids"].append(ids[rows].tobytes())
         out["names"].append(names[rows].tobytes())
+        out["weights"].append(weights[rows].tobytes())
         out["row"].append(local.astype(np.uint32).tobytes())
         out["pos"].append(pos[some].astype(np.uint32).tobytes())
         out["hash"].append(hashes[some].tobytes())
@@ -99,47 +100,46 @@ def _send(buckets: int, bucket: np.ndarray, ids: np.ndarray, names: np.ndarray,
     return _batch(out)
 
 
-SENT = "bucket int, ids binary, names binary, row binary, pos binary, hash binary, left binary"
+SENT = "bucket int, ids binary, names binary, weights binary, row binary, pos binary, hash binary, left binary"
 PLACES = "doc_id long, name long, pos int"
 
 
 def _received(t: pa.Table):
-    ids, names, pos, hashes, left = [], [], [], [], []
-    for i, n, r, p, h, x in zip(*(t.column(c).to_pylist() for c in ("ids", "names", "row", "pos", "hash", "left"))):
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for i, n, k, r, p, h, x in zip(*(t.column(c).to_pylist() for c in ("ids", "names", "weights", "row", "pos", "hash", "left"))):
         r = np.frombuffer(r, np.uint32)
-        ids.append(np.frombuffer(i, np.int64)[r])
-        names.append(np.frombuffer(n, np.uint64)[r])
-        pos.append(np.frombuffer(p, np.uint32))
-        hashes.append(np.frombuffer(h, np.uint64))
-        left.append(np.frombuffer(x, np.uint64))
-    return tuple(np.concatenate(x) for x in (ids, names, pos, hashes, left))
+        got = np.frombuffer(i, np.int64)[r], np.frombuffer(n, np.uint64)[r], np.frombuffer(k, np.int64)[r], np.frombuffer(p, np.uint32), np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint64)
+        for have, y in zip(parts, got):
+            have.append(y)
+    return tuple(np.concatenate(x) for x in parts)
 
 
 def _several(key, t):
     """Of the places in a bucket: those whose hash another place has; with ``left``, only where words before them differ."""
-    ids, names, pos, hashes, left = _received(t)
-    order = np.lexsort((pos, names, ids, hashes))
-    ids, names, pos, hashes = ids[order], names[order], pos[order], hashes[order]
-    if len(left):
-        left = left[order]
-    # Rows that repeat both id and text are one.
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (names[1:] != names[:-1]) | (pos[1:] != pos[:-1]) | (hashes[1:] != hashes[:-1])
-    ids, names, pos, hashes = ids[new], names[new], pos[new], hashes[new]
+    ids, names, weights, pos, hashes, left = _received(t)
+    # Rows that repeat both id and words are one; a name belongs to one id here.
+    place = mix(names + mix(pos.astype(np.uint64)))
+    order = np.lexsort((place, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (place[order[1:]] != place[order[:-1]])
+    order = order[new]
+    ids, names, weights, pos, hashes = ids[order], names[order], weights[order], pos[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    size = np.diff(np.append(first, len(hashes)))
     if len(left):
-        left = left[new]
+        left = left[order]
         keep = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)
+        # Copies of a text all begin after nothing, each after a nothing of its own.
+        keep |= np.maximum.reduceat(np.where(pos == 0, weights, 0), first) > 1
     else:
-        keep = size > 1
-    keep = np.repeat(keep, size)
+        keep = np.add.reduceat(weights, first) > 1
+    keep = np.repeat(keep, np.diff(np.append(first, len(hashes))))
     return pa.table({"doc_id": ids[keep], "name": names[keep].view(np.int64), "pos": pos[keep].astype(np.int32)})
 
 
 def _joined(base: DataFrame, lists: DataFrame, broadcast_bytes: int) -> DataFrame:
     """Texts with their lists.  The lists are broadcast if they are small, else both sides are shuffled."""
-    size = lists.agg(F.sum(sum((F.size(c) for c in lists.columns if c not in ("doc_id", "name")), F.lit(16)) * 4)).first()[0] or 0
+    arrays = [F.size(f.name) for f in lists.schema if f.dataType.typeName() == "array"]
+    size = lists.agg(F.sum(sum(arrays, F.lit(16)) * 4)).first()[0] or 0
     return base.join(F.broadcast(lists) if size <= broadcast_bytes else lists, "doc_id")
 
 
@@ -147,9 +147,9 @@ def _lists(places: DataFrame, column: str) -> DataFrame:
     return places.groupBy("doc_id", "name").agg(F.collect_list("pos").alias(column))
 
 
-def _marked(w: Words, names: np.ndarray, wanted: np.ndarray, lists: list) -> np.ndarray:
+def _marked(w: Words, good: np.ndarray, lists: list) -> np.ndarray:
     """The listed positions of each text, as places in ``w``; those of texts of another name are left out."""
-    out = [np.asarray(x, np.int64) + w.first[i] for i, x in enumerate(lists) if x is not None and names[i] == wanted[i]]
+    out = [np.asarray(x, np.int64) + w.first[i] for i, x in enumerate(lists) if good[i]]
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -183,6 +183,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     of ``least`` equal words lies in one of the spans.  Repeats within a text count.
     Null and empty texts, and rows with a null id, have none; rows that repeat both
     id and words are one row; other columns are ignored.
+
+    Texts of the same words are one text with a weight, that of the lowest id; its
+    rows are given for each of the others in the end.
     """
     if least < 2:
         raise ValueError("least must be 2 at least")
@@ -190,57 +193,65 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, int(chars // fingerprint_chars) + 1)
 
-    def prints(batches):
+    def named(batches):
         for keys, texts in text_batches(batches, "doc_id", "text"):
             w = words(texts)
+            long = np.flatnonzero(np.diff(w.first) >= least)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(long)).cast(pa.int64()), pa.array(_names(w, texts)[long].view(np.int64))], ["doc_id", "name"])
+
+    members = stored(base.mapInArrow(named, "doc_id long, name long").distinct())
+    owners = stored(members.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")))
+
+    def read(batches, columns):
+        """For each piece of a batch: words, ids, names, weights and the lists of the texts that stand for their like."""
+        for b in batches:
+            for keys, texts, own in _with(b, ["name", "weight", *columns]):
+                w = words(texts)
+                names = _names(w, texts)
+                lists = [own[c].to_pylist() for c in columns]
+                good = names == own["name"].to_numpy(zero_copy_only=False).view(np.uint64)
+                weights = own["weight"].to_numpy(zero_copy_only=False).astype(np.int64)
+                yield texts, w, keys.to_numpy(zero_copy_only=False).astype(np.int64), names, weights, good, [_marked(w, good, x) for x in lists]
+
+    def prints(batches):
+        for _, w, ids, names, weights, good, _ in read(batches, []):
             at, h = fingerprints(w, least)
             at = np.unique(at[at >= 0])
+            at = at[good[w.row[at]]]
             if len(at):
-                ids = keys.to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _send(buckets, (mix(h[at]) % np.uint64(buckets)).astype(np.int32), ids, _names(w, texts), w.row[at], at - w.first[w.row[at]], h[at], None)
+                yield _send(buckets, (mix(h[at]) % np.uint64(buckets)).astype(np.int32), ids, names, weights, w.row[at], at - w.first[w.row[at]], h[at], None)
 
-    seen = stored(_lists(base.mapInArrow(prints, SENT).groupBy("bucket").applyInArrow(_several, PLACES), "prints"))
+    seen = stored(_lists(_joined(base, owners, broadcast_bytes).mapInArrow(prints, SENT).groupBy("bucket").applyInArrow(_several, PLACES), "prints").join(owners, ["doc_id", "name"]))
     total = seen.agg(F.sum(F.size("prints"))).first()[0] or 0
     # A fingerprint stands for about a quarter of ``least`` runs.
     runs = max(1, int(total * (least // 4 + 2) // task_windows) + 1)
 
     def starts(batches):
-        for b in batches:
-            for keys, texts, own in _with(b, ["name", "prints"]):
-                w = words(texts)
-                names = _names(w, texts)
-                wanted = own["name"].to_numpy(zero_copy_only=False).view(np.uint64)
-                good, _ = candidates(w, least, _marked(w, names, wanted, own["prints"].to_pylist()))
-                at = np.flatnonzero(good)
-                if len(at):
-                    ids = keys.to_numpy(zero_copy_only=False).astype(np.int64)
-                    h = windows(w.hash, least)[at]
-                    yield _send(runs, (mix(h) % np.uint64(runs)).astype(np.int32), ids, names, w.row[at], at - w.first[w.row[at]], h, _before(w, ids, names, at))
-
-    begins = stored(_lists(_joined(base, seen, broadcast_bytes).mapInArrow(starts, SENT).groupBy("bucket").applyInArrow(_several, PLACES), "begins"))
+        for _, w, ids, names, weights, _, (marked,) in read(batches, ["prints"]):
+            at = np.flatnonzero(candidates(w, least, marked)[0])
+            if len(at):
+                h = windows(w.hash, least)[at]
+                yield _send(runs, (mix(h) % np.uint64(runs)).astype(np.int32), ids, names, weights, w.row[at], at - w.first[w.row[at]], h, _before(w, ids, names, at))
+
+    begins = _lists(_joined(base, seen, broadcast_bytes).mapInArrow(starts, SENT).groupBy("bucket").applyInArrow(_several, PLACES), "begins")
     both = stored(seen.join(begins, ["doc_id", "name"]))
     total = both.agg(F.sum(F.size("begins"))).first()[0] or 0
-    # Each suffix brings some 100 words of its own, as those of a text share theirs.
-    trees = max(1, int(total * 100 // task_words) + 1)
+    # Each suffix brings some words of its own, as those of a text share theirs.
+    trees = max(1, int(total * 5 * least // task_words) + 1)
 
     def suffixes(batches):
         packer = zstandard.ZstdCompressor(3)
-        for b in batches:
-            for keys, texts, own in _with(b, ["name", "prints", "begins"]):
-                w = words(texts)
-                names = _names(w, texts)
-                wanted = own["name"].to_numpy(zero_copy_only=False).view(np.uint64)
-                _, stop = candidates(w, least, _marked(w, names, wanted, own["prints"].to_pylist()))
-                at = _marked(w, names, wanted, own["begins"].to_pylist())
-                if len(at):
-                    ids = keys.to_numpy(zero_copy_only=False).astype(np.int64)
-                    h = windows(w.hash, least)[at]
-                    yield from _pack(packer, trees, w, ids, names, at, h, stop[at] + least - 1)
+        for texts, w, ids, names, weights, _, (marked, at) in read(batches, ["prints", "begins"]):
+            _, stop = candidates(w, least, marked)
+            if len(at):
+                yield from _pack(packer, trees, texts, w, ids, names, weights, at, least, stop[at] + least - 1)
 
     def build(key, t):
         return _repeats_of(t, least)
 
-    return _joined(base, both, broadcast_bytes).mapInArrow(suffixes, "bucket int, packed binary").groupBy("bucket").applyInArrow(build, REPEATS)
+    found = _joined(base, both, broadcast_bytes).mapInArrow(suffixes, "bucket int, packed binary").groupBy("bucket").applyInArrow(build, REPEATS)
+    few = members.count() * 32 <= broadcast_bytes
+    return found.join(F.broadcast(members) if few else members, "name").select("doc_id", "start_word", "words", "occurrences", "repeat_id")
 
 
 def _with(batch: pa.RecordBatch, columns: list[str]):
@@ -250,20 +261,24 @@ def _with(batch: pa.RecordBatch, columns: list[str]):
         done += len(texts)
 
 
-def _pack(packer, trees: int, w: Words, ids: np.ndarray, names: np.ndarray, at: np.ndarray, h: np.ndarray, stop: np.ndarray):
-    """For each tree's task: the stretches of words that its suffixes need, each once, and the suffixes' places in them."""
+def _pack(packer, trees: int, texts: list[str], w: Words, ids: np.ndarray, names: np.ndarray, weights: np.ndarray, at: np.ndarray, least: int, stop: np.ndarray):
+    """For each tree's task: the stretches of text that its suffixes need, each once, and the suffixes' places in them.
+
+    A tree is put in the task of its prefix's fingerprint: neighbouring prefixes
+    often share it, and so the text.
+    """
     out: dict[str, list] = {"bucket": [], "packed": []}
-    left = _before(w, ids, names, at)
-    for b, some in _by_bucket((mix(h) % np.uint64(trees)).astype(np.int32), trees):
+    left, h = _before(w, ids, names, at), windows(w.hash, least)[at]
+    prints, grams = fingerprints(w, least)
+    for b, some in _by_bucket((mix(grams[prints[at]]) % np.uint64(trees)).astype(np.int32), trees):
         p, e = at[some], stop[some]
         new = np.concatenate([[True], e[1:] != e[:-1]])
         begin, end = p[new], e[new]
-        size = end - begin
-        offset = np.concatenate([[0], np.cumsum(size)])
-        tokens = w.hash[np.repeat(begin - offset[:-1], size) + np.arange(offset[-1])]
-        known, place = np.unique(tokens, return_inverse=True)
+        offset = np.concatenate([[0], np.cumsum(end - begin)])
         run = np.cumsum(new) - 1
-        parts = [known, place.astype(np.uint32), p - begin[run] + offset[run], e - p, ids[w.row[p]], p - w.first[w.row[p]], h[some], left[some]]
+        row = w.row[p]
+        text = "\n".join(texts[r][s:t] for r, s, t in zip(w.row[begin].tolist(), w.start[begin].tolist(), w.end[end - 1].tolist()))
+        parts = [np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), (p - begin[run] + offset[run]).astype(np.uint32), (e - p).astype(np.uint32), names[row], (p - w.first[row]).astype(np.uint32), weights[row].astype(np.uint32), h[some], left[some]]
         sizes = np.array([len(x) for x in parts], np.int64)
         out["bucket"].append(b)
         out["packed"].append(packer.compress(sizes.tobytes() + b"".join(x.tobytes() for x in parts)))
@@ -274,13 +289,22 @@ def _pack(packer, trees: int, w: Words, ids: np.ndarray, names: np.ndarray, at:
         yield _batch(out)
 
 
-_KINDS = (np.uint64, np.uint32, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+_KINDS = (np.uint8, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint64, np.uint64)
 
 
 def _repeats_of(t: pa.Table, least: int) -> pa.Table:
     reader = zstandard.ZstdDecompressor()
     parts: list[list[np.ndarray]] = [[] for _ in _KINDS]
+    texts: list[str] = []
     base = 0
+
+    def flush() -> None:
+        # Texts are turned to hashes in pieces, so that only hashes of all are held.
+        if texts:
+            parts[0].append(words(texts).hash)
+            texts.clear()
+
+    held = 0
     for packed in t.column("packed").to_pylist():
         raw = reader.decompress(packed)
         sizes = np.frombuffer(raw, np.int64, len(_KINDS))
@@ -288,30 +312,36 @@ def _repeats_of(t: pa.Table, least: int) -> pa.Table:
         for kind, n in zip(_KINDS, sizes.tolist()):
             got.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        known, place, offset = got[0], got[1], got[2]
-        got[1], got[2] = known[place], offset + base
-        base += len(place)
-        for have, x in zip(parts, got):
+        texts.append(got[0].tobytes().decode("utf-8", "surrogatepass"))
+        held += len(texts[-1])
+        got[1] = got[1].astype(np.int64) + base
+        # The last suffix of the last stretch ends where the text does.
+        base = int((got[1] + got[2]).max())
+        for have, x in zip(parts[1:], got[1:]):
             have.append(x)
-    _, tokens, start, length, ids, pos, h, left = (np.concatenate(x) for x in parts)
-    # Rows that repeat both id and words are one.
-    order = np.lexsort((left, pos, ids, h))
-    twice = np.zeros(len(order), bool)
+        if held > 1 << 20:
+            flush()
+            held = 0
+    flush()
+    tokens, start, length, names, pos, weights, h, left = (np.concatenate(x) for x in parts)
+    codes = np.unique(tokens, return_inverse=True)[1].astype(np.uint32)
+    del tokens
+    order = np.lexsort((pos, names, h))
+    new = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
-    twice[1:] = (h[a] == h[b]) & (ids[a] == ids[b]) & (pos[a] == pos[b]) & (left[a] == left[b]) & (length[a] == length[b])
-    order = order[~twice]
-    start, length, ids, pos, h, left = (x[order] for x in (start, length, ids, pos, h, left))
-    codes = np.unique(tokens, return_inverse=True)[1].astype(">u4")
-    ranks = codes.astype(np.uint64)
-    raw = codes.tobytes()
-    del tokens, codes
-    same = _matcher(ranks)
-    depth, count, name = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64)
+    new[1:] = (h[a] != h[b]) | (names[a] != names[b]) | (pos[a] != pos[b])
+    order = order[new]
+    start, length, names, pos, weights, h, left = start[order], length[order].astype(np.int64), names[order], pos[order], weights[order].astype(np.int64), h[order], left[order]
+    same = _matcher(codes)
+    raw = codes.astype(">u4").tobytes()
+    del codes
+    depth, count, name = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.uint64)
+    several = (pos == 0) & (weights > 1)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     for a, b in zip(first.tolist(), np.append(first[1:], len(h)).tolist()):
-        _tree(np.arange(a, b), least, raw, start, length, left, same, depth, count, name, h[a])
+        _tree(np.arange(a, b), least, raw, start, length, left, weights, several, same, depth, count, name, h[a])
     hit = depth >= least
-    return pa.table({"doc_id": ids[hit], "start_word": pos[hit].astype(np.int32), "words": depth[hit].astype(np.int32), "occurrences": count[hit], "repeat_id": mix(name[hit]).view(np.int64)})
+    return pa.table({"name": names[hit].view(np.int64), "start_word": pos[hit].astype(np.int32), "words": depth[hit].astype(np.int32), "occurrences": count[hit], "repeat_id": mix(name[hit]).view(np.int64)})
 
 
 def _matcher(ranks: np.ndarray) -> Callable:
@@ -320,7 +350,7 @@ def _matcher(ranks: np.ndarray) -> Callable:
 
     up, down = powers(_GRAM, len(ranks) + 1)
     sums = np.zeros(len(ranks) + 1, np.uint64)
-    np.cumsum(mix(ranks + np.uint64(1)) * up[: len(ranks)], out=sums[1:])
+    np.cumsum(mix(ranks.astype(np.uint64) + np.uint64(1)) * up[: len(ranks)], out=sums[1:])
 
     def same(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         low, high = np.zeros_like(most), most.copy()
@@ -334,7 +364,7 @@ def _matcher(ranks: np.ndarray) -> Callable:
     return same
 
 
-def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, same, depth, count, name, group) -> None:
+def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, weights, several, same, depth, count, name, group) -> None:
     """The subtree of suffixes that share ``prefix`` words: sorted suffixes, common prefixes of neighbours, internal nodes.
 
     Suffixes that are too many bytes to sort at once are split by the next words,
@@ -342,6 +372,10 @@ def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, same,
     """
     order = _sorted(some, prefix, raw, start, length)
     n = len(order)
+    # Copies of a text are one leaf; where that begins their text, it is a repeat itself, as long as the text.
+    alone = order[several[order]]
+    depth[alone], count[alone] = length[alone], weights[alone]
+    name[alone] = (np.uint64(group) ^ (length[alone].astype(np.uint64) << np.uint64(32))) + np.uint64(1 << 31) + np.flatnonzero(several[order]).astype(np.uint64)
     if n < 2:
         return
     a, b = order[:-1], order[1:]
@@ -354,7 +388,7 @@ def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, same,
     node_begin: list[int] = []
     parent: list[int] = []
     stack: list[int] = []
-    before = left[order].tolist()
+    before, weight, many = left[order].tolist(), weights[order].tolist(), several[order].tolist()
     leaf = [0] * n
 
     def opened(d: int, begin: int) -> int:
@@ -384,7 +418,7 @@ def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, same,
             stack.append(opened(r, i))
         if stack:
             leaf[i] = stack[-1]
-            absorb(stack[-1], 1, before[i], before[i])
+            absorb(stack[-1], weight[i], before[i], before[i] + many[i])
         else:
             leaf[i] = -1
         while stack and node_depth[stack[-1]] > r:
@@ -403,8 +437,8 @@ def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, same,
         best[v] = v if node_low[v] != node_high[v] else best[parent[v]] if parent[v] >= 0 else -1
     for i, v in enumerate(leaf):
         v = best[v] if v >= 0 else -1
-        if v >= 0:
-            j = order[i]
+        j = order[i]
+        if v >= 0 and node_depth[v] >= depth[j]:
             depth[j], count[j] = node_depth[v], node_size[v]
             name[j] = (int(group) ^ (node_depth[v] << 32)) + node_begin[v] & (1 << 64) - 1
 
