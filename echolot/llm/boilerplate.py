@@ -1,15 +1,14 @@
 """HTML extraction: what a host's pages repeat is boilerplate.
 
 Pages are stripped of markup to streams of words.  The streams of a host are put
-end to end, and a suffix array sorts their places by the ``least`` words that
-follow.  A run of ``least`` words that stands on two pages or more is repeated;
+end to end, and their suffixes are sorted by the ``least`` words that they begin
+with.  A run of ``least`` words that stands on two pages or more is repeated;
 every longer repeated string is made of such runs.  Words that repeated runs cover
 are taken out, and the unique runs between them stay.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from html import unescape
 
@@ -21,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, slices, stored
-from .words import words
+from .substrings import candidates, fingerprints
+from .words import Words, mix, windows, words
 
 #: Words of a repeated string, at least.
 LEAST = 8
-#: Characters of html of one host that a task holds; larger hosts are split into blocks, and each pair of blocks is a task.
-HOST_CHARS = 24_000_000
-#: Characters of html of small hosts that share a task, about.
+#: Characters of html whose fingerprints meet in one task, about.
 TASK_CHARS = 16_000_000
+#: Bytes of lists of places that are broadcast, at most.
+BROADCAST_BYTES = 64 << 20
 
 EXTRACTED = "page_id long, url string, host string, text string, words int, removed int"
 
@@ -44,36 +44,6 @@ def visible(html: str | None) -> str:
     return unescape(_TAG.sub("\n", _INLINE.sub("", _HIDDEN.sub("\n", html))))
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
-    """Which words lie in a run of ``least`` words that two pages have.  ``page`` must not fall."""
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < least:
-        return covered
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    # Prefix doubling: the rank of a place by 2 * known words is that of a pair of ranks by known words.
-    known = 1
-    while known < least:
-        step = min(known, least - known)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        rank = np.unique(key, return_inverse=True)[1]
-        known += step
-    # Only runs within a page count.
-    start = np.flatnonzero(np.append(page[: n - least + 1] == page[least - 1 :], np.zeros(least - 1, bool)))
-    order = start[np.argsort(rank[start], kind="stable")]
-    if not len(order):
-        return covered
-    first = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    hit = order[np.repeat(low != high, np.diff(np.append(first, len(order))))]
-    edge = np.zeros(n + 1, np.int64)
-    edge[hit] += 1
-    np.subtract.at(edge, hit + least, 1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def unique_text(text: str, start: np.ndarray, end: np.ndarray, covered: np.ndarray) -> str:
     """The runs of words that aren't covered, each with what follows its words up to the next, on a line of its own."""
     if not covered.any():
@@ -91,104 +61,146 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-SENT = "place long, i int, j int, packed binary"
-CUT = EXTRACTED + ", name long, covered binary"
+SENT = "bucket int, packed binary"
+PLACES = "name long, places binary"
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, host_chars: int = HOST_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
-    """page_id, url, host, text (the unique runs, in lines), words (of the page) and removed (of them), for every page.
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, task_chars: int = TASK_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, host, text (the unique runs, in lines), words (of the page) and removed (of them), for every row.
 
     Pages are told apart by id and content: rows that repeat id, url and html are
-    one page and give one row.  Pages with a null id are pages too.  A page with
+    one page, and each gives its row.  Pages with a null id are pages too.  A page with
     no host shares no site and keeps its text.  Null and empty html gives an empty
     text.  Other columns are ignored.
 
-    Hosts of up to ``host_chars`` are one task's, several small ones of one task.
-    The pages of a larger host are dealt into blocks, each pair of blocks a task;
-    a word is boilerplate if it is so in any of them.
+    The suffix array of a host is never in one place.  Its suffixes are dealt to
+    tasks by their first ``least`` words, with the host; each task sorts its own.
+    Before, a sieve keeps out suffixes that can't be repeated: of each run of
+    ``least`` words the lowest hash of its shorter runs is its fingerprint, and
+    a fingerprint that is on one page of the host only belongs to no repeated run.
     """
-    base = only(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    hosts = base.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
-    total = hosts.agg(F.sum("chars")).first()[0] or 0
-    # Hosts above host_chars: at most total / host_chars, so few.
-    large = {r.host: int(-(-2 * r.chars // host_chars)) for r in hosts.where((F.col("chars") > host_chars) & (F.col("host") != "")).collect()}
-    tasks = max(1, int(total // task_chars) + 1)
-
-    def send(batches):
-        packer = zstandard.ZstdCompressor(3)
-        for b in batches:
-            ids, urls, own, raw = (b.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))
-            for a, z in slices([len(x or "") + 1 for x in raw], 1 << 22):
-                cells: dict[tuple[int, int, int], list] = {}
-                for k in range(a, z):
-                    name = xxhash.xxh3_64_intdigest(f"{ids[k]} {urls[k]} {raw[k]}") - (1 << 63)
-                    page = (own[k], name, ids[k], urls[k], visible(raw[k]))
-                    blocks = large.get(own[k], 1)
-                    place = xxhash.xxh3_64_intdigest(own[k] or str(name)) >> 2
-                    if blocks == 1:
-                        cells.setdefault((place % tasks, -1, -1), []).append(page)
-                        continue
-                    mine = name % blocks
-                    for other in range(blocks):
-                        cells.setdefault((place, min(mine, other), max(mine, other)), []).append(page)
-                keys = list(cells)
-                packed = [packer.compress(pickle.dumps(v)) for v in cells.values()]
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(packed, pa.binary())], ["place", "i", "j", "packed"])
-
-    def cut(key, t):
-        return _cut(t, least, key[1].as_py(), key[2].as_py())
-
-    parts = base.mapInArrow(send, SENT).groupBy("place", "i", "j").applyInArrow(cut, CUT)
-    if not large:
-        return parts.drop("name", "covered")
-    parts = stored(parts)
-    whole = parts.where("covered is null").drop("name", "covered")
-    return whole.unionByName(parts.where("covered is not null").groupBy("name").applyInArrow(_joined, EXTRACTED))
-
-
-def _streams(texts: list[str]):
-    """Words of texts: (text, start, end, hash), in pieces that fit in memory."""
-    got = []
-    for a, b in slices([len(t) + 1 for t in texts], 1 << 21):
-        w = words(texts[a:b])
-        got.append((w.row + a, w.start.astype(np.int32), w.end.astype(np.int32), w.hash))
-    return tuple(np.concatenate(x) for x in zip(*got))
-
-
-def _cut(t: pa.Table, least: int, i: int, j: int) -> pa.Table:
-    reader = zstandard.ZstdDecompressor()
-    # Pages by host; rows that repeat all of a page are one.
-    pages: dict[tuple[str, int], tuple] = {}
-    for packed in t.column("packed").to_pylist():
-        for p in pickle.loads(reader.decompress(packed)):  # noqa: S301 -- written by send()
-            pages.setdefault(p[:2], p[2:])
-    hosts: dict[str, list[tuple]] = {}
-    for (host, name), p in sorted(pages.items()):
-        hosts.setdefault(host if host else f"//{name}", []).append((host, name, *p))
-    out: dict[str, list] = {c: [] for c in ("page_id", "url", "host", "text", "words", "removed", "name", "covered")}
-    for own in hosts.values():
-        row, start, end, tokens = _streams([p[4] for p in own])
-        covered = repeated(tokens, row, least)
-        at = np.searchsorted(row, np.arange(len(own) + 1))
-        for k, (host, name, page_id, url, text) in enumerate(own):
-            some = slice(at[k], at[k + 1])
-            c = covered[some]
-            text = unique_text(text, start[some], end[some], c) if i < 0 else text if i == j else None
-            bits = None if i < 0 else np.packbits(c).tobytes()
-            for column, value in zip(out, (page_id, url, host, text, len(c), int(c.sum()), name, bits)):
-                out[column].append(value)
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], list(out))
-
-
-def _joined(key, t):
-    """One page of a large host: covered where any pair of blocks has it so."""
-    rows = t.to_pylist()
-    page = next(r for r in rows if r["text"] is not None)
-    w = words([page["text"]])
-    bits = np.bitwise_or.reduce([np.frombuffer(r["covered"], np.uint8) for r in rows])
-    covered = np.unpackbits(bits, count=len(w.hash)).astype(bool)
-    text = unique_text(page["text"], w.start, w.end, covered)
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-    values = (page["page_id"], page["url"], page["host"], text, len(covered), int(covered.sum()))
-    return pa.table([pa.array([v], kind) for v, kind in zip(values, kinds)], ["page_id", "url", "host", "text", "words", "removed"])
+    site = host_of(F.col("url"))
+    missing = [F.col(c).isNull() for c in ("page_id", "url", "html")]
+    base = only(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), "url", site.alias("host"), F.xxhash64("page_id", "url", "html", *missing).alias("name"), "html")
+    total = base.agg(F.sum(F.length("html"))).first()[0] or 0
+    buckets = max(1, int(total // task_chars) + 1)
+
+    def prints(batches):
+        for b, texts in _texts(batches):
+            w = words(texts)
+            at, h = fingerprints(w, least)
+            at = np.unique(at[at >= 0])
+            if len(at):
+                yield _send(buckets, mix(h[at] ^ _sites(b)[w.row[at]]), np.uint32, _column(b, "name"), w.row[at], at - w.first[w.row[at]])
+
+    with_site = base.where("host <> ''")
+    seen = stored(_lists(with_site.mapInArrow(prints, SENT).groupBy("bucket").applyInArrow(_on_several(np.uint32), PLACES)))
+    found = seen.agg(F.sum(F.octet_length("places"))).first()[0] or 0
+    # A place is 4 bytes, and stands for some of the runs that it is the fingerprint of.
+    runs = max(1, int(found // 4 * least // 2 * 32 // task_chars) + 1)
+
+    def starts(batches):
+        for b, texts in _texts(batches):
+            w = words(texts)
+            at = np.flatnonzero(candidates(w, least, _places(w, b))[0])
+            if len(at):
+                h = windows(w.hash, least)[at]
+                yield _send(runs, mix(h ^ _sites(b)[w.row[at]]), np.uint64, _column(b, "name"), w.row[at], at - w.first[w.row[at]])
+
+    covered = stored(_lists(_joined(with_site, seen, broadcast_bytes, "inner").mapInArrow(starts, SENT).groupBy("bucket").applyInArrow(_on_several(np.uint64), PLACES)))
+
+    def cut(batches):
+        for b, texts in _texts(batches):
+            w = words(texts)
+            edge = np.zeros(len(w.hash) + least + 1, np.int64)
+            at = _places(w, b)
+            edge[at] += 1
+            edge[at + least] -= 1
+            inside = np.cumsum(edge)[: len(w.hash)] > 0
+            out = [unique_text(t, w.start[i:j], w.end[i:j], inside[i:j]) for t, i, j in zip(texts, w.first[:-1].tolist(), w.first[1:].tolist())]
+            sums = np.concatenate([[0], np.cumsum(inside)])
+            removed = sums[w.first[1:]] - sums[w.first[:-1]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), pa.array(out, pa.string()), pa.array(np.diff(w.first), pa.int32()), pa.array(removed, pa.int32())], ["page_id", "url", "host", "text", "words", "removed"])
+
+    return _joined(base, covered, broadcast_bytes, "left").mapInArrow(cut, EXTRACTED)
+
+
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy(zero_copy_only=False)
+
+
+def _texts(batches):
+    """Pieces of batches, with their pages' visible texts."""
+    for b in batches:
+        raw = b.column("html").to_pylist()
+        for i, j in slices([len(x or "") + 1 for x in raw], 1 << 21):
+            yield b.slice(i, j - i), [visible(x) for x in raw[i:j]]
+
+
+def _sites(b: pa.RecordBatch) -> np.ndarray:
+    """A number of each row's host, so that words of different hosts never meet."""
+    return np.array([xxhash.xxh3_64_intdigest(h) for h in b.column("host").to_pylist()], np.uint64)
+
+
+def _send(buckets: int, keys: np.ndarray, kind, names: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of keys: its places, packed; each page's name once.  Of a key the low bits are sent that ``kind`` holds."""
+    packer = zstandard.ZstdCompressor(3)
+    bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out: dict[str, list] = {"bucket": [], "packed": []}
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        some = order[ends[b] : ends[b + 1]]
+        rows, local = np.unique(row[some], return_inverse=True)
+        # Places rise within a page, and pages rise: differences are small numbers, which pack well.
+        steps = np.diff(np.stack([local, pos[some]]).astype(np.int32), prepend=np.int32(0), axis=1)
+        parts = [names[rows].tobytes(), steps.tobytes(), keys[some].astype(kind).tobytes()]
+        out["bucket"].append(b)
+        out["packed"].append(np.array([len(rows), len(some)], np.int64).tobytes() + packer.compress(b"".join(parts)))
+    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["packed"], pa.binary())], ["bucket", "packed"])
+
+
+def _on_several(kind):
+    """Of the places in a bucket those whose key is on two pages or more, for each page."""
+
+    def run(key, t):
+        reader = zstandard.ZstdDecompressor()
+        names, pos, keys = [], [], []
+        for packed in t.column("packed").to_pylist():
+            pages, n = np.frombuffer(packed, np.int64, 2).tolist()
+            raw = reader.decompress(packed[16:])
+            local, at = np.cumsum(np.frombuffer(raw, np.int32, 2 * n, 8 * pages).reshape(2, n), axis=1, dtype=np.int32)
+            names.append(np.frombuffer(raw, np.int64, pages)[local])
+            pos.append(at)
+            keys.append(np.frombuffer(raw, kind, n, 8 * (pages + n)))
+        names, pos, keys = (np.concatenate(x) for x in (names, pos, keys))
+        # The suffixes in order of their first words.
+        order = np.argsort(keys, kind="stable")
+        own = names[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        hit = order[np.repeat(several, np.diff(np.append(first, len(order))))]
+        hit = hit[np.lexsort((pos[hit], names[hit]))]
+        names, pos = names[hit], pos[hit]
+        begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(names)).astype(np.int64)
+        return pa.table({"name": names[begin], "places": pa.array([pos[i:j].astype(np.int32).tobytes() for i, j in zip(begin, end)], pa.binary())})
+
+    return run
+
+
+def _lists(places: DataFrame) -> DataFrame:
+    """One row for each page: all its places."""
+    return places.groupBy("name").agg(F.collect_list("places").alias("parts")).select("name", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))").alias("places"))
+
+
+def _joined(base: DataFrame, lists: DataFrame, broadcast_bytes: int, how: str) -> DataFrame:
+    """Pages with their places.  The lists are broadcast if they are small, else both sides are shuffled."""
+    size = lists.agg(F.sum(F.octet_length("places") + 32)).first()[0] or 0
+    return base.join(F.broadcast(lists) if size <= broadcast_bytes else lists, "name", how)
+
+
+def _places(w: Words, b: pa.RecordBatch) -> np.ndarray:
+    """The listed places of a piece's pages, as places in ``w``; a page may have one several times."""
+    out = [np.frombuffer(p, np.int32).astype(np.int64) + w.first[i] for i, p in enumerate(b.column("places").to_pylist()) if p]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
