@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, stored
+from .common import byte_sizes, only, slices, stored, tidy
 from .substrings import candidates, fingerprints
 from .words import Words, mix, windows, words
 
@@ -132,9 +132,10 @@ def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
 def _texts(batches):
     """Pieces of batches, with their pages' visible texts."""
     for b in batches:
-        raw = b.column("html").to_pylist()
-        for i, j in slices([len(x or "") + 1 for x in raw], 1 << 21):
-            yield b.slice(i, j - i), [visible(x) for x in raw[i:j]]
+        for i, j in slices(byte_sizes(b.column("html")), 1 << 20):
+            piece = b.slice(i, j - i)
+            yield piece, [visible(x) for x in piece.column("html").to_pylist()]
+        tidy()
 
 
 def _sites(b: pa.RecordBatch) -> np.ndarray:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +60,32 @@ def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def text_batches(batches, key: str, text: str, limit: int = 1 << 21):
-    """From Arrow batches, (keys, texts) in pieces of about ``limit`` characters; a null text is empty."""
+def text_batches(batches, key: str, text: str, limit: int = 1 << 20):
+    """From Arrow batches, (keys, texts) in pieces of about ``limit`` bytes; a null text is empty."""
     for batch in batches:
-        keys, texts = batch.column(key), ["" if t is None else t for t in batch.column(text).to_pylist()]
-        for a, b in slices([len(t) + 1 for t in texts], limit):
-            yield keys.slice(a, b - a), texts[a:b]
+        column = batch.column(text)
+        for a, b in slices(byte_sizes(column), limit):
+            yield batch.column(key).slice(a, b - a), ["" if t is None else t for t in column.slice(a, b - a).to_pylist()]
+        del column, batch
+        tidy()
+
+
+def byte_sizes(column) -> list[int]:
+    return pc.add(pc.fill_null(pc.binary_length(column), 0), 1).to_pylist()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library, which has no such call
+
+    def _trim(_: int) -> None:
+        pass
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on, and the next ones need it."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def fresh(name: str, columns) -> str:

@@ -401,16 +401,20 @@ def clean(docs: DataFrame, text: str = "text", model: Field | None = None) -> Da
 
     def run(batches):
         for b in batches:
-            texts = b.column(text).to_pylist()
-            done, changed = 0, False
+            column, kept, done = b.column(text), [], 0
             for _, part in text_batches([b], text, text):
+                own = column.slice(done, len(part))
                 by: dict[int, list[tuple[int, int, str]]] = {}
                 for r, s, e, k, _p in find(part, shared.value):
                     by.setdefault(r, []).append((s, e, k))
-                for r, own in by.items():
-                    texts[done + r], changed = masked(part[r], own), True
+                if by:
+                    new = own.to_pylist()
+                    for r, found in by.items():
+                        new[r] = masked(part[r], found)
+                    own = pa.array(new, column.type)
+                kept.append(own)
                 done += len(part)
             i = b.schema.get_field_index(text)
-            yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type)) if changed else b
+            yield b.set_column(i, b.schema.field(i), pa.concat_arrays(kept)) if kept else b
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,7 +46,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i for i in 0..n, modulo 2 ** 64."""
     up, down = _powers.get(int(base), (np.ones(1, np.uint64),) * 2)
     if len(up) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = (int(n) // (1 << 16) + 1) << 16
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, np.uint64)))) for b in (base, inverse))
         _powers[int(base)] = up, down
