@@ -28,6 +28,9 @@ SAMPLE, SAMPLE_LEAF, PROBES = 20_000, 64, 400
 #: Similarities that are held at once.
 BLOCK = 4_000_000
 
+#: Queries whose ways through the trees are followed at once.
+ROWS = 512
+
 RESULT = "vec_id long, neighbour_id long, similarity double, rank int"
 
 
@@ -57,6 +60,8 @@ class Forest:
         from the hyperplane; a leaf's cost is the highest on its way.  Costs never
         fall on the way down, so the ``visits`` best nodes of a level hold the best leaves.
         """
+        if len(v) > ROWS:
+            return np.concatenate([self.order(v[i : i + ROWS], visits) for i in range(0, len(v), ROWS)])
         places, costs = [], []
         for t, levels in enumerate(self.trees):
             node, cost = np.zeros((len(v), 1), np.int64), np.zeros((len(v), 1))
