@@ -1 +1 @@
-
+"""Functions of source text, and column expressions."""

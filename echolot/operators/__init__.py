@@ -1 +1 @@
-
+"""Operators over frames of units and pairs."""

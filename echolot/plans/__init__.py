@@ -1 +1 @@
-
+"""What plans need besides operators."""

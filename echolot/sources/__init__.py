@@ -1 +1 @@
-
+"""Where frames come from."""

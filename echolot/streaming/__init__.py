@@ -1 +1 @@
-
+"""Reserved: the analysis is of a whole tree or table at a time, and has no streaming form."""
