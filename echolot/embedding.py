@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
+import sys
 from collections.abc import Callable
+from importlib import metadata
 from typing import Protocol
 
 import numpy as np
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from . import profiles
 
+log = logging.getLogger(__name__)
+
 
 class SemanticBackendError(RuntimeError):
     """A model can't be loaded or run."""
@@ -39,6 +44,50 @@ class TermFrequency:
         return out / np.where(length > 0, length, 1)
 
 
+def versions() -> dict[str, str]:
+    """What runs models here: the version of each package, or that it is missing."""
+    found = {"python": sys.version.split()[0]}
+    for package in ("torch", "transformers", "sentence-transformers", "deepspeed"):
+        try:
+            found[package] = metadata.version(package)
+        except metadata.PackageNotFoundError:
+            found[package] = "missing"
+    return found
+
+
+#: Versions that models of one family run with: from the first on, and before the second.
+SUPPORTED = {"c2llm": {"transformers": ((4, 51), (5,)), "sentence-transformers": ((5,), (6,))}}
+
+
+def preflight(model: str, found: dict[str, str] | None = None) -> None:
+    """SemanticBackendError if the model's family needs packages that are missing or of other versions."""
+    found, family = found or versions(), profiles.profile(model).family
+    for package, (low, high) in SUPPORTED.get(family, {}).items():
+        number = tuple(int(x) for x in re.findall(r"\d+", found[package])[:3])
+        if not low <= number < high:
+            raise SemanticBackendError(f"{package} {found[package]} doesn't run {family} models; it must be >={'.'.join(map(str, low))},<{'.'.join(map(str, high))}")
+    if family == "c2llm" and found["deepspeed"] == "missing":
+        raise ModuleNotFoundError("deepspeed is required for C2LLM models")
+
+
+def truncated(text: str, tokenizer, max_tokens: int | None) -> str:
+    """The text's first ``max_tokens`` tokens, or four times as many characters where they can't be decoded; all of it if it can't be counted."""
+    if not tokenizer or not max_tokens:
+        return text
+    try:
+        ids = tokenizer.encode(text, add_special_tokens=False)
+    except Exception:
+        log.debug("a text can't be tokenized and is used whole", exc_info=True)
+        return text
+    if len(ids) <= max_tokens:
+        return text
+    log.warning("a text of %d tokens is cut to %d", len(ids), max_tokens)
+    try:
+        return tokenizer.decode(ids[:max_tokens], skip_special_tokens=True)
+    except Exception:
+        return text[: 4 * max_tokens]
+
+
 _loaded: dict[tuple, object] = {}
 _OUT_OF_MEMORY = ("out of memory", "cuda oom", "mps backend out of memory")
 
@@ -56,6 +105,7 @@ class SentenceModel:
     def _model(self):
         key = tuple(self.options.values())
         if key not in _loaded:
+            preflight(self.options["name"])
             try:
                 from sentence_transformers import SentenceTransformer
             except ImportError as e:
@@ -67,7 +117,9 @@ class SentenceModel:
         return _loaded[key]
 
     def __call__(self, texts: list[str], batch_size: int = 8) -> np.ndarray:
-        return encode_with_backoff(self._model().encode, texts, batch_size)
+        model = self._model()
+        limit, tokenizer = getattr(model, "max_seq_length", None), getattr(model, "tokenizer", None)
+        return encode_with_backoff(model.encode, [truncated(t, tokenizer, limit) for t in texts], batch_size)
 
 
 def encode_with_backoff(encode: Callable, texts: list[str], batch_size: int) -> np.ndarray:
