@@ -4,6 +4,9 @@ The terms of a text are its words and the beginnings of its longer words, each a
 64-bit hash, taken once a text.  A text's score adds a weight of every term to
 the products of the terms' factor vectors, pair by pair, so that two terms which
 are harmless alone, an insult's word and the mention of a group, weigh together.
+No term is chosen by its own relation to the label: all that a few labelled texts
+hold are fitted, and penalties take those to zero that tell nothing, alone or in
+pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ from .words import mix, words
 
 #: Labelled rows that the model is fitted on, at most: those whose id hashes lowest.
 TRAIN_ROWS = 20_000
-#: Terms in the model, at most: those that depend on the label the most.
-MAX_TERMS = 1 << 15
+#: Terms that are fitted, at most, a bound of the driver's memory: beyond it those that depend on the label the most.
+MAX_TERMS = 1 << 20
 #: Labelled texts that a term must occur in.
-LEAST_TEXTS = 4
-#: Chi-square of a term against the label, at least.
-LEAST_CHI2 = 40.0
+LEAST_TEXTS = 2
+#: Chi-square of a term against the label, at least: none, as it grows with the rows and rates no pairs.
+LEAST_CHI2 = 0.0
+#: Penalty of a weight's size; and those of a factor vector's length, of which the held-back rows choose.
+WEIGHT_PENALTY, FACTOR_PENALTIES = 0.01, (0.003, 0.01, 0.03)
+#: Steps of a fit, about, and passes over the rows, at least.
+STEPS, LEAST_EPOCHS = 500, 8
 #: Lengths of the beginnings of words that count as terms.
 PREFIXES = (4, 5, 6)
 FACTORS = 8
@@ -91,41 +98,60 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_machine(texts_terms: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Logistic loss, Adagrad over mini-batches; both classes weigh alike.  texts_terms: places of terms, for each text."""
+def fit_machine(texts_terms: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factor_penalty: float = FACTOR_PENALTIES[-1], weight_penalty: float = WEIGHT_PENALTY, rate: float = 0.1, seed: int = 7) -> Model:
+    """Logistic loss, proximal Adagrad over mini-batches; both classes weigh alike.  texts_terms: places of terms, for each text.
+
+    After each step weights and factor vectors of the step's terms are shortened by
+    their penalties, so that terms which tell nothing end at zero.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(labels), len(terms)
     w, v, b = np.zeros(k), rng.normal(0, 0.02, (k, FACTORS)), 0.0
-    gw, gv, gb = np.full(k, 1e-6), np.full((k, FACTORS), 1e-6), 1e-6
+    gw, gv, gb = np.full(k, 1e-6), np.full(k, 1e-6), 1e-6
     share = labels.mean() if n else 0.5
     cost = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     sizes = np.array([len(t) for t in texts_terms], np.int64)
+    epochs = max(LEAST_EPOCHS, -(-STEPS // max(1, -(-n // 256))))
     for _ in range(epochs if k else 0):
         order = rng.permutation(n)
         for i in range(0, n, 256):
             some = order[i : i + 256]
-            p = np.concatenate([texts_terms[j] for j in some])
-            r = np.repeat(np.arange(len(some)), sizes[some])
-            vp = v[p]
-            total = np.zeros((len(some), FACTORS))
-            np.add.at(total, r, vp)
-            z = b + np.bincount(r, w[p], len(some)) + 0.5 * ((total**2).sum(1) - np.bincount(r, (vp**2).sum(1), len(some)))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) * cost[some] / len(some)
-            u, place = np.unique(p, return_inverse=True)
-            dw = np.bincount(place, g[r], len(u)) + decay * w[u]
-            dv = np.zeros((len(u), FACTORS))
-            np.add.at(dv, place, g[r, None] * (total[r] - vp))
-            dv += decay * v[u]
+            m = len(some)
+            u, p = np.unique(np.concatenate([texts_terms[j] for j in some]), return_inverse=True)
+            r = np.repeat(np.arange(m), sizes[some])
+            vu = v[u]
+            live = np.flatnonzero(vu.any(1))
+            held = np.zeros(len(u), bool)
+            held[live] = True
+            pairs = np.flatnonzero(held[p])
+            rp, pp = r[pairs], p[pairs]
+            total = np.stack([np.bincount(rp, vu[pp, f], m) for f in range(FACTORS)], 1)
+            z = b + np.bincount(r, w[u][p], m) + 0.5 * ((total**2).sum(1) - np.bincount(rp, (vu**2).sum(1)[pp], m))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) * cost[some] / m
+            dw = np.bincount(p, g[r], len(u))
             gw[u] += dw**2
-            gv[u] += dv**2
-            w[u] -= rate * dw / np.sqrt(gw[u])
-            v[u] -= 0.3 * rate * dv / np.sqrt(gv[u])
+            step = rate / np.sqrt(gw[u])
+            x = w[u] - step * dw
+            w[u] = np.sign(x) * np.maximum(np.abs(x) - step * weight_penalty, 0)
+            if len(live):
+                at = u[live]
+                dv = np.stack([np.bincount(pp, g[rp] * total[rp, f], len(u))[live] for f in range(FACTORS)], 1) - vu[live] * dw[live, None]
+                gv[at] += (dv**2).mean(1)
+                step = 0.3 * rate / np.sqrt(gv[at])
+                x = vu[live] - step[:, None] * dv
+                v[at] = x * np.maximum(1 - step * factor_penalty / np.maximum(np.sqrt((x**2).sum(1)), 1e-12), 0)[:, None]
             db = g.sum()
             gb += db**2
             b -= rate * db / np.sqrt(gb)
     return Model(terms, b, w, v)
 
 
+def pruned(model: Model) -> Model:
+    """Without the terms that weigh nothing, alone or in pairs."""
+    some = (model.weight != 0) | model.factor.any(1)
+    return Model(model.terms[some], model.bias, model.weight[some], model.factor[some], model.threshold)
+
+
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     """Of the cuts with the highest F1 on these, the middle of the widest; 0.5 where one class is missing."""
     if not len(labels) or labels.min() == labels.max():
@@ -146,9 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     It is fitted on at most ``train_rows`` of them, a documented bound: those
     whose ids hash lowest.  Labels other than 0 and 1, nulls, and ids without a
     document or with several labels that differ are left out.  Of every five, one
-    is held back to set the threshold.  Without rows of both classes, or without
-    terms that depend on the label, the model scores every text alike, at 0, so
-    that none is toxic.
+    is held back to choose the penalty of the factors and to set the threshold.
+    All terms of ``least_texts`` fitted rows or more take part.  Without rows of both
+    classes, or where the penalties leave no term, the model scores every text
+    alike, at 0, so that none is toxic.
     """
     spark = docs.sparkSession
     marks = only(labels, doc_id=label_id, label=label).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
@@ -176,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     a, c = F.col("toxic"), F.col("n")
     chi2 = F.lit(float(n)) * F.pow(a * F.lit(float(n)) - c * F.lit(float(toxic)), F.lit(2)) / (c * (F.lit(float(n)) - c) * F.lit(float(toxic) * (n - toxic)))
     chosen = train.mapInArrow(count, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(f"n >= {least_texts} and n < {n}").withColumn("chi2", chi2).where(f"chi2 >= {least_chi2}").orderBy(F.desc("chi2"), "term").limit(max_terms)
-    terms = np.sort(np.array([r.term for r in chosen.select("term").collect()], np.int64).view(np.uint64))
+    terms = np.sort(chosen.select("term").toPandas().term.to_numpy(np.int64).view(np.uint64))
     model = Model(terms, -30.0, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)))
     if not len(terms):
         return model
@@ -184,22 +211,39 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def encode(batches):
         for b in batches:
-            out, done = [], 0
+            ids, flags, apart = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label", "held"))
+            done = 0
             for _, t in text_batches([b], "doc_id", "text"):
                 rows, places = shared.value.places(t)
-                out += [x.tolist() for x in np.split(places, np.searchsorted(rows, np.arange(1, len(t))))]
+                part = slice(done, done + len(t))
+                parts = [ids[part].astype(np.int64), flags[part].astype(np.int8), apart[part].astype(np.int8), np.bincount(rows, minlength=len(t)).astype(np.int32), places.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["ids", "labels", "held", "sizes", "places"])
                 done += len(t)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int64()), b.column("held"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "label", "held", "places"])
-
-    got = texts.mapInArrow(encode, "doc_id long, label long, held boolean, places array<int>").toPandas().sort_values("doc_id", kind="stable")
-    held, y = got.held.to_numpy(bool), got.label.to_numpy(float)
-    p = [np.asarray(x, np.int64) for x in got.places]
-    model = fit_machine([x for x, h in zip(p, held) if not h], y[~held], terms)
-    if held.any():
-        rows = np.repeat(np.arange(int(held.sum())), [len(x) for x, h in zip(p, held) if h])
-        z = model.logits(rows, np.concatenate([x for x, h in zip(p, held) if h]), int(held.sum()))
-        model.threshold = best_threshold(1 / (1 + np.exp(-np.clip(z, -30, 30))), y[held])
-    return model
+
+    # Arrays as bytes, one partition at a time: as lists they would be the driver's largest objects.
+    pieces = [[np.frombuffer(x, kind) for x, kind in zip(r, (np.int64, np.int8, np.int8, np.int32, np.int32))] for r in stored(texts.mapInArrow(encode, "ids binary, labels binary, held binary, sizes binary, places binary")).toLocalIterator()]
+    ids, flags, apart, sizes, flat = (np.concatenate(x) for x in zip(*pieces))
+    del pieces
+    order = np.lexsort((flags, sizes, ids))
+    p = np.split(flat, np.cumsum(sizes)[:-1])
+    p, y, held = [p[i] for i in order.tolist()], flags[order].astype(float), apart[order] == 1
+    own, other = [x for x, h in zip(p, held) if not h], [x for x, h in zip(p, held) if h]
+    rows = np.repeat(np.arange(len(other)), [len(x) for x in other])
+    places = np.concatenate(other) if other else np.zeros(0, np.int32)
+    share = y[held].mean() if held.any() else 0.0
+    cost = np.where(y[held] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+    best, least_loss, best_z = model, np.inf, np.zeros(0)
+    for penalty in FACTOR_PENALTIES[::-1]:
+        one = fit_machine(own, y[~held], terms, penalty)
+        if not (one.weight.any() or one.factor.any()):
+            continue
+        z = np.clip(one.logits(rows, places, len(other)), -30, 30)
+        loss = float((cost * np.logaddexp(0, np.where(y[held] == 1, -z, z))).mean()) if len(z) else 0.0
+        if loss < least_loss:
+            best, least_loss, best_z = one, loss, z
+    if len(best_z):
+        best.threshold = best_threshold(1 / (1 + np.exp(-best_z)), y[held])
+    return pruned(best)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

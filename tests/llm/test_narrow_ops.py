@@ -210,6 +210,22 @@ def test_machine_learns_words_beginnings_and_pairs(spark):
         assert np.isclose(z[i], model.bias + model.weight[p].sum() + pairs)
 
 
+def test_machine_with_production_defaults(spark):
+    """No term is dropped before the machine sees it: few labels, and pairs whose words tell nothing alone."""
+    data = labelled()
+    few = labelled(160, 9)
+    model = toxicity.fit(docs(spark, [(i, t, "", "", 0) for i, t, _ in few]), spark.createDataFrame([(i, y) for i, _, y in few], "doc_id long, toxic int"))
+    scores = model.scores([t for _, t, _ in data])
+    y = np.array([y for *_, y in data])
+    assert len(model.terms) and ((scores >= model.threshold) == y).mean() > 0.9
+    r = random.Random(3)
+    # Each word is in half of the texts of either class; only both, or neither, are toxic.
+    both = [(i, " ".join([f"w{r.randint(0, 40)}" for _ in range(6)] + ["vermin"] * a + ["groupie"] * b), int(a == b)) for i in range(1000) for a, b in [(r.randint(0, 1), r.randint(0, 1))]]
+    model = toxicity.fit(docs(spark, [(i, t, "", "", 0) for i, t, _ in both]), spark.createDataFrame([(i, y) for i, _, y in both if i < 700], "doc_id long, toxic int"))
+    scores = model.scores([t for i, t, _ in both if i >= 700])
+    assert ((scores >= model.threshold) == [y for i, _, y in both if i >= 700]).mean() > 0.9
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark), lab)
