@@ -18,7 +18,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    return substrings.repeats(table(spark, sf_dir, "documents"), nested=True)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

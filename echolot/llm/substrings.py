@@ -36,7 +36,7 @@ SORT_BYTES = 64 << 20
 #: Bytes of a list of positions that is broadcast, at most.
 BROADCAST_BYTES = 64 << 20
 
-REPEATS = "name long, start_word int, words int, occurrences long, repeat_id long"
+REPEATS = "name long, start_word int, words int, occurrences long, repeat_id long, parent_id long"
 
 
 def _inside(w: Words, n: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def _before(w: Words, ids: np.ndarray, names: np.ndarray, at: np.ndarray) -> np.
     return np.where(first, own, w.hash[np.maximum(at, 1) - 1])
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, fingerprint_chars: int = FINGERPRINT_CHARS, task_windows: int = TASK_WINDOWS, task_words: int = TASK_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, fingerprint_chars: int = FINGERPRINT_CHARS, task_windows: int = TASK_WINDOWS, task_words: int = TASK_WORDS, broadcast_bytes: int = BROADCAST_BYTES, nested: bool = False) -> DataFrame:
     """doc_id, start_word, words, occurrences, repeat_id: every place where a maximal repeat begins.
 
     Of the maximal repeats that begin at a word, the longest is given, with its
@@ -184,6 +184,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     Null and empty texts, and rows with a null id, have none; rows that repeat both
     id and words are one row; other columns are ignored.
 
+    With ``nested`` no maximal repeat is missing: one that is the longest at none of
+    its places has a row at one of them, and a column parent_id names the longest of
+    the shorter ones that begin at the same places, null where there is none.  The
+    places of a repeat are those of the rows from which parents lead to it.  Links
+    keep this linear in the places, where nested repeats listed at each are not.
+
     Texts of the same words are one text with a weight, that of the lowest id; its
     rows are given for each of the others in the end.
     """
@@ -247,11 +253,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 yield from _pack(packer, trees, texts, w, ids, names, weights, at, least, stop[at] + least - 1)
 
     def build(key, t):
-        return _repeats_of(t, least)
+        return _repeats_of(t, least, nested)
 
     found = _joined(base, both, broadcast_bytes).mapInArrow(suffixes, "bucket int, packed binary").groupBy("bucket").applyInArrow(build, REPEATS)
     few = members.count() * 32 <= broadcast_bytes
-    return found.join(F.broadcast(members) if few else members, "name").select("doc_id", "start_word", "words", "occurrences", "repeat_id")
+    return found.join(F.broadcast(members) if few else members, "name").select("doc_id", "start_word", "words", "occurrences", "repeat_id", *["parent_id"] * nested)
 
 
 def _with(batch: pa.RecordBatch, columns: list[str]):
@@ -292,7 +298,7 @@ def _pack(packer, trees: int, texts: list[str], w: Words, ids: np.ndarray, names
 _KINDS = (np.uint8, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint64, np.uint64)
 
 
-def _repeats_of(t: pa.Table, least: int) -> pa.Table:
+def _repeats_of(t: pa.Table, least: int, nested: bool) -> pa.Table:
     reader = zstandard.ZstdDecompressor()
     parts: list[list[np.ndarray]] = [[] for _ in _KINDS]
     texts: list[str] = []
@@ -335,13 +341,23 @@ def _repeats_of(t: pa.Table, least: int) -> pa.Table:
     same = _matcher(codes)
     raw = codes.astype(">u4").tobytes()
     del codes
-    depth, count, name = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.uint64)
+    depth, count, name, up = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    more: list[tuple[int, int, int, int, int]] | None = [] if nested else None
     several = (pos == 0) & (weights > 1)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     for a, b in zip(first.tolist(), np.append(first[1:], len(h)).tolist()):
-        _tree(np.arange(a, b), least, raw, start, length, left, weights, several, same, depth, count, name, h[a])
-    hit = depth >= least
-    return pa.table({"name": names[hit].view(np.int64), "start_word": pos[hit].astype(np.int32), "words": depth[hit].astype(np.int32), "occurrences": count[hit], "repeat_id": mix(name[hit]).view(np.int64)})
+        _tree(np.arange(a, b), least, raw, start, length, left, weights, several, same, depth, count, name, up, more, h[a])
+    at = np.flatnonzero(depth >= least)
+    depth, count, name, up = depth[at], count[at], name[at], up[at]
+    if more:
+        # The numbers of a node are unsigned: each column alone, or NumPy makes them floats.
+        a, d, c, n, u = zip(*more)
+        at, depth, count = np.append(at, np.array(a, np.int64)), np.append(depth, np.array(d, np.int64)), np.append(count, np.array(c, np.int64))
+        name, up = np.append(name, np.array(n, np.uint64)), np.append(up, np.array(u, np.uint64))
+    return pa.table({
+        "name": names[at].view(np.int64), "start_word": pos[at].astype(np.int32), "words": depth.astype(np.int32), "occurrences": count,
+        "repeat_id": mix(name).view(np.int64), "parent_id": pa.array(mix(up).view(np.int64), mask=up == 0),
+    })
 
 
 def _matcher(ranks: np.ndarray) -> Callable:
@@ -364,9 +380,12 @@ def _matcher(ranks: np.ndarray) -> Callable:
     return same
 
 
-def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, weights, several, same, depth, count, name, group) -> None:
+def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, weights, several, same, depth, count, name, up, more, group) -> None:
     """The subtree of suffixes that share ``prefix`` words: sorted suffixes, common prefixes of neighbours, internal nodes.
 
+    ``more`` gets (suffix, depth, count, name, name of the parent) of each maximal
+    repeat that is the longest at none of its places; None leaves these out.
+
     Suffixes that are too many bytes to sort at once are split by the next words,
     each part sorted alone; the parts, in order of those words, make one order.
     """
@@ -435,12 +454,22 @@ def _tree(some: np.ndarray, prefix: int, raw: bytes, start, length, left, weight
     best = [-1] * len(node_depth)
     for v in sorted(range(len(node_depth)), key=node_depth.__getitem__):
         best[v] = v if node_low[v] != node_high[v] else best[parent[v]] if parent[v] >= 0 else -1
+    def named(v: int) -> int:
+        # Above a node that follows different words all do, so that parents of maximal repeats are maximal.
+        return (int(group) ^ (node_depth[v] << 32)) + node_begin[v] & (1 << 64) - 1 if v >= 0 else 0
+
+    longest = set()
     for i, v in enumerate(leaf):
         v = best[v] if v >= 0 else -1
         j = order[i]
         if v >= 0 and node_depth[v] >= depth[j]:
             depth[j], count[j] = node_depth[v], node_size[v]
-            name[j] = (int(group) ^ (node_depth[v] << 32)) + node_begin[v] & (1 << 64) - 1
+            name[j], up[j] = named(v), named(parent[v])
+            longest.add(v)
+        elif v >= 0:
+            up[j] = named(v)
+    if more is not None:
+        more += [(int(order[node_begin[v]]), node_depth[v], node_size[v], named(v), named(parent[v])) for v in range(len(node_depth)) if best[v] == v and v not in longest]
 
 
 def _sorted(some: np.ndarray, prefix: int, raw: bytes, start, length) -> np.ndarray:
