@@ -47,11 +47,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def bound(sizes: np.ndarray, capacity: int) -> int:
-    """The largest of the lower bounds on the number of bins that three families of dual feasible functions give, in whole numbers."""
+def bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The largest of the lower bounds on the number of bins that three families of dual feasible functions give, in whole numbers.  counts: pieces of each size, if sizes are distinct."""
     if not len(sizes):
         return 0
-    x, count = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    x, count = np.unique(np.asarray(sizes, np.int64), return_counts=True) if counts is None else (np.asarray(sizes, np.int64), np.asarray(counts, np.int64))
     up = lambda a, b: -(-int(a) // int(b))
     best = up((x * count).sum(), capacity)
     # Rounding to multiples of 1/k: exact multiples of 1/(k+1) stay, all else is rounded down.
@@ -97,7 +97,7 @@ def word_count(text: Column) -> Column:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS, length: Column | None = None) -> DataFrame:
-    """A row for each piece: doc_id, piece, start and words (of the text), bin, fill (words in the bin), certified.
+    """A row for each piece: doc_id, piece, start and words (of the text), bin, fill (words in the bin), certified, full.
 
     ``bin`` is a struct (round, part, bin).  A text of more than ``capacity`` words
     is cut into full pieces and a rest.  Texts without words, and null ones, have no
@@ -106,8 +106,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     the columns of ``docs``, in place of the number of words.
 
     ``certified`` says that the partition of the bin uses no more bins than any
-    packing of its pieces must.  Partitions with a gap keep the bins that are full,
-    which no packing can better, and pool their other pieces; these are dealt out
+    packing of its pieces must; of the partitions with a gap, that all of them do so
+    together, full bins that were kept included.  ``full`` says that the bin is.
+    Partitions with a gap keep the bins that are full,
+    and pool their other pieces; these are dealt out
     to partitions anew and packed again.  A round is kept if it needs fewer bins,
     for at most ``rounds`` rounds.
     """
@@ -121,6 +123,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     packed = stored(_round(pieces, capacity, 0, parts))
     done: list[DataFrame] = []
     gap = F.col("bins") > F.col("bound")
+    # One row for each size: capacity of them at most.
+    pool = packed.where(gap).groupBy("words").count().orderBy("words").collect()
     for number in range(1, rounds + 1):
         loose = packed.where(gap & (F.col("fill") < capacity))
         had = loose.select(F.count("*").alias("n"), F.count_distinct("part", "bin").alias("bins")).first()
@@ -136,5 +140,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)
-    # A full bin is as good as any can be, whatever became of its partition.
-    return whole.select("doc_id", "piece", "start", "words", F.struct("round", "part", "bin").alias("bin"), "fill", (~gap | (F.col("fill") == capacity)).alias("certified"))
+    alone = (F.col("round") == 0) & ~gap
+    used = whole.where(~alone).select(F.count_distinct("round", "part", "bin")).first()[0] if pool else 0
+    met = bool(pool) and used <= bound(np.array([r[0] for r in pool]), capacity, np.array([r[1] for r in pool]))
+    return whole.select("doc_id", "piece", "start", "words", F.struct("round", "part", "bin").alias("bin"), "fill", (alone | F.lit(met)).alias("certified"), (F.col("fill") == capacity).alias("full"))

@@ -181,6 +181,15 @@ def test_gaps_are_exchanged(spark):
             assert len({x.bin for x in own}) == packing.bound(np.array([x.words for x in own]), 60)
 
 
+def test_a_full_bin_is_not_certified_alone(spark):
+    rows = [(i, "w " * n) for i, n in enumerate([3, 6, 7, 2, 5, 7, 2, 4])]
+    for rounds in (0, 4):
+        got = packing.pack(docs(spark, rows), capacity=12, rounds=rounds).collect()
+        assert any(x.full for x in got) and all(x.full == (x.fill == 12) for x in got)
+        # Three bins suffice.
+        assert {x.certified for x in got} == {len({x.bin for x in got}) == 3}
+
+
 # ---- neighbours
 
 
