@@ -1,8 +1,7 @@
 """HTML extraction: what a host's pages repeat is boilerplate.
 
-Pages are stripped of markup to streams of words.  The streams of a host are put
-end to end, and their suffixes are sorted by the ``least`` words that they begin
-with.  A run of ``least`` words that stands on two pages or more is repeated;
+Pages are stripped of markup to streams of words.  The runs of ``least`` words of a
+host are brought together by their hashes, in place of a suffix array.  A run of ``least`` words that stands on two pages or more is repeated;
 every longer repeated string is made of such runs.  Words that repeated runs cover
 are taken out, and the unique runs between them stay.
 """
@@ -175,7 +174,7 @@ def _on_several(kind):
             pos.append(at)
             keys.append(np.frombuffer(raw, kind, n, 8 * (pages + n)))
         names, pos, keys = (np.concatenate(x) for x in (names, pos, keys))
-        # The suffixes in order of their first words.
+        # Equal windows of words next to each other, by their hashes.
         order = np.argsort(keys, kind="stable")
         own = names[order]
         first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
