@@ -297,12 +297,13 @@ TEMPLATES = {
         <<var;name="organization";original="the copyright holder";match=".{1,20}">> nor the names of its contributors may be used to endorse or promote products derived from this
         software without specific prior written permission. """ + _AS_IS_BSD,
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
-        the License at http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed
+        the License at <<var;name="scheme";original="http";match=".{1,1}">>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed
         under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
         governing permissions and limitations under the License.""",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
         Foundation, either version 3 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>. This program is distributed in the hope that it will be
         useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "all-rights-reserved-notice": "All rights reserved",
     "MIT-notice": _UNDER + "MIT License",
     "Apache-2.0-notice": _UNDER + "Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
     "GPL-3.0-notice": _UNDER + "GNU General Public License<<beginOptional>>, version<<endOptional>> 3<<beginOptional>>.0<<endOptional>>",

@@ -171,6 +171,13 @@ def test_spans_and_masks(spark):
     assert pii.spans(docs(spark, [])).count() == 0 and pii.clean(docs(spark, [])).count() == 0
 
 
+def test_apache_header_with_either_scheme_and_reserved_rights():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    header = re.sub(r"<<.*?>>", "SCHEME", licenses.TEMPLATES["Apache-2.0-header"])
+    found = scanner.scan([header.replace("SCHEME", "http"), header.replace("SCHEME", "https"), "(c) 2020 X. All rights reserved."])
+    assert {(r, n) for r, n, *_ in found} >= {(0, "Apache-2.0-header"), (1, "Apache-2.0-header"), (2, "all-rights-reserved-notice")}
+
+
 # ---- toxicity
 
 
