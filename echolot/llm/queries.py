@@ -22,7 +22,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +71,21 @@ def _sharding_sql() -> str:
 
 
 _JACCARD_SQL = rf"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
     s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {ngram_join.N} THEN list_transform(range(1, len(w) - {ngram_join.N} + 2), lambda i: array_to_string(w[i:i + {ngram_join.N} - 1], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
-    heads AS MATERIALIZED (SELECT s, min(doc_id) AS doc_a FROM s GROUP BY s),
-    inv AS (SELECT doc_a, unnest(s) AS g, len(s) AS n FROM heads)
-    SELECT doc_a, doc_id AS doc_b, CAST(1 AS DOUBLE) AS jaccard FROM s JOIN heads USING (s) WHERE doc_id <> doc_a
-    UNION ALL
-    SELECT a.doc_a, b.doc_a, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM inv a JOIN inv b ON a.g = b.g AND a.doc_a < b.doc_a
-    GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= {ngram_join.THRESHOLD}"""
+    heads AS MATERIALIZED (SELECT s, min(doc_id) AS set_id, count(*) - 1 AS copies FROM s GROUP BY s),
+    inv AS (SELECT set_id, unnest(s) AS g, len(s) AS n FROM heads),
+    pairs AS MATERIALIZED (
+      SELECT a.set_id AS a, b.set_id AS b FROM inv a JOIN inv b ON a.g = b.g AND a.set_id < b.set_id
+      GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= {ngram_join.THRESHOLD}),
+    edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    linked AS (SELECT a AS set_id, count(*) AS links FROM edges GROUP BY a),
+    reach AS (SELECT a AS set_id, b AS other FROM edges UNION SELECT r.set_id, e.b FROM reach r JOIN edges e ON r.other = e.a),
+    class AS (SELECT set_id, min(other) AS class_id FROM reach GROUP BY set_id)
+    SELECT d.doc_id, coalesce(class_id, h.set_id, d.doc_id) AS class_id, coalesce(h.set_id, d.doc_id) AS set_id,
+           CAST(coalesce(copies, 0) AS BIGINT) AS copies, CAST(coalesce(links, 0) AS BIGINT) AS links
+    FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+    LEFT JOIN s USING (doc_id) LEFT JOIN heads h ON h.s = s.s LEFT JOIN linked ON linked.set_id = h.set_id LEFT JOIN class ON class.set_id = h.set_id"""
 
 
 def oracle_sql() -> dict[str, str]:

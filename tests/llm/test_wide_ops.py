@@ -63,6 +63,52 @@ def test_pairs_against_brute_force(spark, options, monkeypatch):
     assert found.keys() == expect.keys() and all(abs(found[k] - expect[k]) < 1e-12 for k in found)
 
 
+def brute_classes(rows, threshold):
+    """doc_id -> (class, set, copies, links), by all pairs."""
+    pairs = brute_jaccard(rows, threshold)
+    ids = {i for i, _ in rows if i is not None}
+    head = {i: i for i in ids} | {b: a for (a, b), j in brute_jaccard(rows, 1.0).items() if j == 1}
+    links = Counter(x for (a, b), j in pairs.items() if head[a] != head[b] for x in (a, b))
+    low = dict(head)
+    for _ in ids:
+        for a, b in pairs:
+            a, b = head[a], head[b]
+            low[a] = low[b] = min(low[a], low[b])
+    members = Counter(head.values())
+    return {i: (low[head[i]], head[i], members[head[i]] - 1, links[head[i]]) for i in ids}
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_grams": 900}, {"cell_grams": 90}])
+def test_classes_against_brute_force(spark, options, monkeypatch):
+    if options:
+        monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    rows = corpus() + [(2000 + i, " ".join(f"near{k}" for k in range(40) if k != i)) for i in range(30)]
+    got = {x.doc_id: tuple(x)[1:] for x in ngram_join.classes(docs(spark, rows), recall=0.9999, **options).collect()}
+    assert got == brute_classes(rows, 0.5)
+    assert sum(links for *_, links in got.values()) > 300
+    assert ngram_join.classes(docs(spark, [])).count() == 0
+
+
+def test_a_set_is_compared_in_few_cells(spark):
+    """A chain of texts, each alike to the next, is one component; cut into buckets it gives the same links, each once."""
+    w = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(w[6 * i : 6 * i + 30])) for i in range(60)]
+    base = docs(spark, rows).select("doc_id", "text")
+    bands = ngram_join.bands_for(0.5, 0.9999, 3)
+    signed, _, owners = ngram_join._members(base, 3, bands, 3)
+    cells = ngram_join._cells(base, signed, owners, 3, bands, 200).select("cell", "doc_id").collect()
+    assert {x.cell.kind for x in cells} >= {ngram_join.BUCKET} and max(Counter(x.doc_id for x in cells).values()) <= bands
+    got = {x.doc_id: tuple(x)[1:] for x in ngram_join.classes(docs(spark, rows), recall=0.9999, cell_grams=200).collect()}
+    assert got == brute_classes(rows, 0.5) and {c for c, *_ in got.values()} == {0}
+
+
+def test_long_texts_and_any_column(spark):
+    long = " ".join(f"w{i % 7001}x{i % 13}" for i in range(150_000))
+    d = spark.createDataFrame([(1, long, "a", None), (2, long + " end", None, "b"), (None, long, "c", "d"), (3, None, "e", "f"), (2, long + " end", "g", "h")], "doc_id long, text string, lost string, LOST string".replace("LOST", "_lost"))
+    assert [tuple(x) for x in ngram_join.classes(d).orderBy("doc_id").collect()] == [(1, 1, 1, 0, 1), (2, 1, 2, 0, 1), (3, 3, 3, 0, 0)]
+    assert sorted((x.doc_id or 0, x.lost) for x in ngram_join.clean(d).collect()) == [(0, "c"), (1, "a"), (3, "e")]
+
+
 def test_bands_reach_the_recall():
     for t, recall, rows in ((0.5, 0.97, 3), (0.8, 0.99, 6)):
         b = ngram_join.bands_for(t, recall, rows)
