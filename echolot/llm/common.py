@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset, as in tests on one machine, is a folder of our own made.
+    Only where that is unset and the session is of one machine, as in tests, is a folder
+    of our own made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="echolot-")
         atexit.register(shutil.rmtree, named, True)
         spark.sparkContext.setCheckpointDir(named)
@@ -88,6 +91,16 @@ def tidy() -> None:
     _trim(0)
 
 
+_kept: dict[str, tuple] = {}
+
+
+def cached(kind: str, name, build):
+    """What ``build`` makes, kept by a worker process for its next tasks until another name of that kind is asked for."""
+    if kind not in _kept or _kept[kind][0] != name:
+        _kept[kind] = name, build()
+    return _kept[kind][1]
+
+
 def fresh(name: str, columns) -> str:
     """``name``, with underscores before it until it clashes with no column, in whatever case."""
     taken = {c.lower() for c in columns}

@@ -1,188 +1,204 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Test questions and answers are normalised to lower-case words between single
-spaces.  Every run of ``n`` words of an item (all its words where it has fewer)
-is a pattern of one automaton.  A text is normalised the same way, scanned once,
-and hits map back to offsets of the original text.
+Test questions and answers are normalised to lower-case words.  Every run of ``n``
+words of an item (all its words where it has fewer) is a pattern of one
+automaton, whose letters are words.  A text is normalised the same way, scanned
+once, and hits map back to offsets of the original text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import only, text_batches
-from .words import codepoints, tables
+from .common import cached, only, text_batches
+from .words import Words, words
 
 #: Words of a pattern.
 N = 13
-#: Items of fewer words are no evidence of a leak and are left out.
+#: Items of fewer words are found as well, but are no evidence of a leak on their own.
 LEAST = 5
-#: Characters of patterns in one automaton; a larger test set is scanned for in several passes.
-PATTERN_CHARS = 64_000_000
-
-HITS = "doc_id long, item_id long, start int, end int, words int"
-
-
-def normalised(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """All texts as one string of lower-case words, each with a space on both sides and texts apart by line ends.
-
-    With it come the place of each of its characters in the joined original, and
-    where each original text begins there.
-    """
-    flat, begins = codepoints(texts)
-    low = tables()[0][flat]
-    ends = np.zeros(len(flat), bool)
-    ends[begins[1:] - 1] = True
-    inside = low != 0
-    # A separator is kept where it follows a word or begins a text; the line end of each text is kept too.
-    before = np.empty(len(flat), bool)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    starts = begins[:-1]
-    keep = inside | before | ends
-    chars = np.where(inside, low, np.uint32(32))
-    chars[ends] = 10
-    at = np.flatnonzero(keep)
-    out = chars[at]
-    # A line end that follows a word also stands for the space after it; a space is put in before each text.
-    # So each text is: " word word \n".
-    lead = np.searchsorted(at, starts)
-    glued = np.flatnonzero((out == 10) & before[at])
-    places = np.concatenate([lead, glued])
-    out = np.insert(out, places, 32)
-    at = np.insert(at, places, np.concatenate([starts, at[glued]]))
-    return out.tobytes().decode("utf-32-le", "surrogatepass"), at, begins
-
-
-def patterns(items: list[tuple[int, str]], n: int = N, least: int = LEAST) -> dict[str, list[int]]:
-    """Each pattern, with a space on both sides, and the items that have it.  Nulls and items of under ``least`` words have none."""
-    found: dict[str, list[int]] = {}
-    for item, text in items:
-        w = normalised([text or ""])[0].split()
-        if item is None or len(w) < least:
-            continue
-        for i in range(max(1, len(w) - n + 1)):
-            owners = found.setdefault(" " + " ".join(w[i : i + n]) + " ", [])
-            if not owners or owners[-1] != item:
-                owners.append(item)
-    return found
-
-
-def automaton(found: dict[str, list[int]]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for p, owners in found.items():
-        a.add_word(p, (len(p), tuple(owners)))
-    a.make_automaton()
-    return a
-
-
-def scan(texts: list[str], a: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
-    """(text, item, start, end) of each hit, in one pass over the texts."""
-    whole, at, begins = normalised(texts)
-    hits = [(end, size, owners) for end, (size, owners) in a.iter(whole)]
-    if not hits:
-        return []
-    last = np.array([h[0] for h in hits])
-    begin = at[last - np.array([h[1] for h in hits]) + 2]
-    stop = at[last - 1] + 1
-    row = np.searchsorted(begins, begin, "right") - 1
-    return [(int(r), item, int(b - begins[r]), int(e - begins[r])) for r, b, e, h in zip(row, begin, stop, hits) for item in h[2]]
-
-
-def merged(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Hits of the same text and item that overlap become one span."""
-    out: list[list[int]] = []
-    for r, i, b, e in sorted(hits):
-        if out and out[-1][:2] == [r, i] and b <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], e)
+#: Words of patterns in one automaton, which has as many states; a larger test set is scanned for in several passes.
+PATTERN_WORDS = 8_000_000
+
+HITS = "doc_id long, item_id long, start int, end int, words int, confident boolean"
+_PARTIAL = "doc_id long, name long, part int, item_id long, confident boolean, from int, to int, start int, end int"
+
+
+@dataclass
+class TestSet:
+    """Items as hashes of their words: one after the other, where each begins, their ids, and a name of all of it."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    ids: list[int]
+    n: int
+    least: int
+
+    @property
+    def name(self) -> int:
+        return xxhash.xxh3_64_intdigest(self.hashes.tobytes() + self.first.tobytes() + repr((self.ids, self.n, self.least)).encode())
+
+
+class Scanner:
+    """The automaton of a test set, and the numbers of its words."""
+
+    def __init__(self, items: TestSet):
+        self.vocabulary = np.unique(items.hashes)
+        codes = self.codes(items.hashes).tolist()
+        found: dict[tuple[int, ...], list[tuple[int, bool]]] = {}
+        for item, a, b in zip(items.ids, items.first[:-1].tolist(), items.first[1:].tolist()):
+            for i in range(a, max(a, b - items.n) + 1):
+                owners = found.setdefault(tuple(codes[i : min(b, i + items.n)]), [])
+                if not owners or owners[-1][0] != item:
+                    owners.append((item, b - a >= items.least))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p, owners in found.items():
+            self.automaton.add_word(p, (len(p), owners))
+        if found:
+            self.automaton.make_automaton()
+        self.empty = not found
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """A number above 1 for each word of the vocabulary, 1 for others."""
+        if not len(self.vocabulary):
+            return np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 2, 1)
+
+    def scan(self, w: Words) -> list[tuple[int, int, bool, int, int]]:
+        """(text, item, confident, first word, end) of each span, in one pass; overlapping hits of an item are one."""
+        if self.empty or not len(w.hash):
+            return []
+        # Between two texts stands a number that is no word's.
+        codes = np.insert(self.codes(w.hash), w.first[1:-1], 0)
+        hits = []
+        for end, (size, owners) in self.automaton.iter(tuple(codes.tolist())):
+            hits += [(end, size, *o) for o in owners]
+        if not hits:
+            return []
+        texts = len(w.first) - 1
+        begins = w.first[:-1] + np.arange(texts)
+        ends = np.array([h[0] for h in hits])
+        rows = np.searchsorted(begins, ends, "right") - 1
+        own = ends - begins[rows] + 1
+        return merged([(r, h[2], h[3], e - h[1], e) for r, e, h in zip(rows.tolist(), own.tolist(), hits)])
+
+
+def merged(hits: list[tuple[int, int, bool, int, int]]) -> list[tuple[int, int, bool, int, int]]:
+    """Hits of the same text and item that share a word become one span."""
+    out: list[list] = []
+    for r, i, sure, b, e in sorted(hits):
+        if out and out[-1][:3] == [r, i, sure] and b < out[-1][4]:
+            out[-1][4] = max(out[-1][4], e)
         else:
-            out.append([r, i, b, e])
+            out.append([r, i, sure, b, e])
     return [tuple(x) for x in out]
 
 
-def _groups(items: DataFrame, item_id: str, item_text: str, n: int, least: int, pattern_chars: int) -> list[dict[str, list[int]]]:
-    rows = only(items, item_id=item_id, text=item_text).distinct().sort("item_id", "text").toLocalIterator()
-    found = patterns([(r.item_id, r.text) for r in rows], n, least)
-    groups: list[dict[str, list[int]]] = [{}]
-    size = 0
-    for p, owners in found.items():
-        if size + len(p) > pattern_chars and groups[-1]:
-            groups.append({})
-            size = 0
-        groups[-1][p] = owners
-        size += len(p)
-    return groups
+def test_sets(items: DataFrame, item_id: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST, pattern_words: int = PATTERN_WORDS) -> list[TestSet]:
+    """The test set in parts whose automata have ``pattern_words`` states at most; an item is in one part."""
+    rows = only(items, item_id=item_id, text=item_text).where("item_id is not null and text is not null").distinct().sort("item_id", "text").toLocalIterator()
+    parts, hashes, first, ids, size = [], [], [0], [], 0
 
+    def close():
+        nonlocal hashes, first, ids, size
+        parts.append(TestSet(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(first), ids, n, least))
+        hashes, first, ids, size = [], [0], [], 0
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST, pattern_chars: int = PATTERN_CHARS) -> DataFrame:
+    for r in rows:
+        h = words([r.text]).hash
+        if not len(h):
+            continue
+        states = max(1, len(h) - n + 1) * min(n, len(h))
+        if ids and size + states > pattern_words:
+            close()
+        hashes.append(h)
+        first.append(first[-1] + len(h))
+        ids.append(r.item_id)
+        size += states
+    close()
+    return parts
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST, pattern_words: int = PATTERN_WORDS) -> DataFrame:
     """Spans of documents that repeat ``n`` words of a test item, or all of an item of fewer words.
 
     Returns doc_id, item_id, start, end (characters of the original text, end
-    exclusive) and words (of the span).  Overlapping hits of an item are one
-    span.  Null and empty texts match nothing, as do items of under ``least``
-    words; repeated documents and items each give their own rows (repeated rows of
-    an item with the same id count once); rows with a null doc_id are reported
-    with it.  Other columns are ignored.
-
-    The automaton holds the test set, not the corpus, and at most
-    ``pattern_chars`` characters of patterns: beyond that the patterns are split
-    over several automata and the documents scanned once for each.  The plan is
-    one narrow pass over two columns of the documents, without a shuffle.
+    exclusive), words (of the span) and confident: false for items of under ``least``
+    words, such as short answers, whose words alone tell nothing.  Hits of an item that
+    share a word are one span.  Null and empty texts and items match nothing, nor do items
+    with a null id; texts of any length are read whole; no documents or no items give
+    no rows.  Repeated documents and items each give their own rows (repeated rows of an
+    item with the same id count once); rows with a null doc_id are reported with it.
+    Other columns are ignored.
+
+    The automaton holds the test set, not the corpus, and at most ``pattern_words``
+    states: beyond that the items are split over several automata and the documents
+    scanned once for each.  The spans of texts of an item are merged whichever automata
+    found them.  With one automaton the plan is one narrow pass over two columns of
+    the documents, without a shuffle.
     """
-    groups = _groups(items, item_id, item_text, n, least, pattern_chars)
-    spark = docs.sparkSession
-    base = only(docs, doc_id=doc_id, text=text)
-    parts = [_pass(base, spark.sparkContext.broadcast(g)) for g in groups]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
-
-
-def _pass(base: DataFrame, found) -> DataFrame:
-    built: list = []
-
+    parts = test_sets(items, item_id, item_text, n, least, pattern_words)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    base = only(docs, doc_id=doc_id, text=text).where("text is not null")
+    if len(parts) == 1:
+        return base.mapInArrow(_finder(broadcast(parts[0]), 0), _PARTIAL).select("doc_id", "item_id", "start", "end", (F.col("to") - F.col("from")).alias("words"), "confident")
+    found = base.mapInArrow(_finder(broadcast(parts[0]), 0), _PARTIAL)
+    for k, p in enumerate(parts[1:], 1):
+        found = found.unionByName(base.mapInArrow(_finder(broadcast(p), k), _PARTIAL))
+    # Rows that repeat a document give the same spans, once each in every part.
+    key = ["doc_id", "name", "item_id", "confident"]
+    span = F.struct("from", "to", "start", "end")
+    spans = found.groupBy(*key, "part", "from", "to", "start", "end").agg(F.count("*").alias("times")).groupBy(*key).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.max("times").alias("times"))
+    grown = lambda last, x: F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+    join = lambda done, x: F.when((F.size(done) > 0) & (x["from"] < F.element_at(done, -1)["to"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown(F.element_at(done, -1), x)))).otherwise(F.concat(done, F.array(x)))
+    empty = F.expr("cast(array() as array<struct<from:int,to:int,start:int,end:int>>)")
+    one = spans.select(*key, F.explode(F.aggregate("spans", empty, join)).alias("x"), "times").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return one.select("doc_id", "item_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"), (F.col("x.to") - F.col("x.from")).alias("words"), "confident")
+
+
+def _finder(shared, part: int):
     def run(batches):
-        if not found.value:
-            return
-        if not built:
-            built.append(automaton(found.value))
+        scanner = cached("decontamination", shared.value.name, lambda: Scanner(shared.value))
         for keys, texts in text_batches(batches, "doc_id", "text"):
-            hits = merged(scan(texts, built[0]))
-            if hits:
-                r, item, b, e = (list(x) for x in zip(*hits))
-                count = [len(normalised([texts[i][s:t]])[0].split()) for i, s, t in zip(r, b, e)]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)).cast(pa.int64()), pa.array(item, pa.int64()), pa.array(b, pa.int32()), pa.array(e, pa.int32()), pa.array(count, pa.int32())], ["doc_id", "item_id", "start", "end", "words"])
+            w = words(texts)
+            if hits := scanner.scan(w):
+                r, item, sure, b, e = (list(x) for x in zip(*hits))
+                row, b, e = (np.array(x, np.int64) for x in (r, b, e))
+                name = [xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")) - (1 << 63) for i in r]
+                at = w.first[row]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)).cast(pa.int64()), pa.array(name, pa.int64()), pa.array([part] * len(r), pa.int32()), pa.array(item, pa.int64()), pa.array(sure), *(pa.array(x.astype(np.int32)) for x in (b, e, w.start[at + b], w.end[at + e - 1]))], ["doc_id", "name", "part", "item_id", "confident", "from", "to", "start", "end"])
 
-    return base.mapInArrow(run, HITS)
+    return run
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST, pattern_chars: int = PATTERN_CHARS) -> DataFrame:
-    """The documents without a leak, in the same columns; nulls and empty texts stay, each row is judged by its own text.
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST, pattern_words: int = PATTERN_WORDS) -> DataFrame:
+    """The documents without a confident leak, in the same columns; nulls and empty texts stay, each row is judged by its own text.
 
-    The same scan as ``leaks``; rows go or stay where they are read, so there is no join.
+    The same scan as ``leaks``; rows go or stay where they are read, so there is no
+    join, and texts of any length are read whole.  Columns of any name are carried along.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast
-    for g in _groups(items, item_id, item_text, n, least, pattern_chars):
-        docs = docs.mapInArrow(_keeper(text, broadcast(g)), docs.schema)
+    for p in test_sets(items, item_id, item_text, n, least, pattern_words):
+        docs = docs.mapInArrow(_keeper(text, broadcast(p)), docs.schema)
     return docs
 
 
-def _keeper(text: str, found):
-    built: list = []
-
+def _keeper(text: str, shared):
     def run(batches):
-        if found.value and not built:
-            built.append(automaton(found.value))
+        scanner = cached("decontamination", shared.value.name, lambda: Scanner(shared.value))
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             done = 0
             for _, texts in text_batches([batch], text, text):
-                if built:
-                    keep[[done + h[0] for h in scan(texts, built[0])]] = False
+                keep[[done + r for r, _, sure, *_ in scanner.scan(words(texts)) if sure]] = False
                 done += len(texts)
             yield batch.filter(pa.array(keep))
 
