@@ -5,7 +5,11 @@ A template is text with three kinds of markup, as license lists use it:
 ``<<beginOptional>> ... <<endOptional>>``
     may be missing; it may hold other markup.
 ``<<var;name="...";original="...";match="...">>``
-    stands for any words; ``match`` is ``.*``, ``.+`` or ``.{m,n}``, which counts words.
+    stands for words that ``match`` says, a small regular expression over words: ``.``
+    is any word, ``*``, ``+``, ``?`` and ``{m,n}`` count words, and words, groups in
+    parentheses and alternatives with ``|`` are allowed.
+``<<notAfter;words="...">>``
+    at the beginning: no match within three words after one of these.
 
 All else is mandatory: its words must follow each other exactly, whatever the
 case, white space and punctuation.  A text is accepted wherever a run of its words
@@ -16,12 +20,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, text_batches
+from .common import cached, only, text_batches
 from .words import windows, words
 
 FOUND = "doc_id long, license_id string, start int, end int, words int"
@@ -37,7 +42,53 @@ def spelled(text: str) -> list[str]:
     return [EQUAL.get(w, w) for w in _WORD.findall(text.lower())]
 
 
-Node = tuple  # ("word", w) | ("any", least, most or None) | ("optional", [nodes])
+Node = tuple  # ("word", w) | ("any", least, most or None) | ("optional", [nodes]) | ("either", [[nodes], ...]) | ("after", {words})
+
+_COUNT = re.compile(r"\*|\+|\?|\{(\d+),?(\d*)\}")
+
+
+def parse_match(form: str) -> list[Node]:
+    """The nodes of a ``match``; ValueError for what isn't an expression over words."""
+
+    def counted(at: int) -> tuple[int, int | None, int]:
+        m = _COUNT.match(form, at)
+        if not m:
+            return 1, 1, at
+        if m[1]:
+            most = int(m[2]) if m[2] else None if "," in m[0] else int(m[1])
+            return int(m[1]), most, m.end()
+        return {"*": (0, None), "+": (1, None), "?": (0, 1)}[m[0]] + (m.end(),)
+
+    def choice(at: int, inside: bool) -> tuple[list[Node], int]:
+        ways: list[list[Node]] = [[]]
+        while at < len(form) and form[at] != ")":
+            if form[at] == "|":
+                ways.append([])
+                at += 1
+            elif form[at] == ".":
+                least, most, at = counted(at + 1)
+                ways[-1].append(("any", least, most))
+            elif form[at] == "(":
+                own, at = choice(at + (3 if form.startswith("(?:", at) else 1), True)
+                if at >= len(form):
+                    raise ValueError(f"unknown match: {form}")
+                least, most, at = counted(at + 1)
+                if most is None:
+                    raise ValueError(f"only single words may come any number of times: {form}")
+                ways[-1] += own * least + [("optional", own)] * (most - least)
+            elif form[at] in "[]{}*+?^$":
+                raise ValueError(f"unknown match: {form}")
+            else:
+                to = at + 1
+                while to < len(form) and form[to] not in "|.()[]{}*+?^$":
+                    to += 2 if form[to] == "\\" else 1
+                ways[-1] += [("word", w) for w in spelled(re.sub(r"\\[sS][*+?]?|\\", " ", form[at:to]))]
+                at = to
+        if inside != (at < len(form)):
+            raise ValueError(f"unknown match: {form}")
+        return (ways[0] if len(ways) == 1 else [("either", ways)]), at
+
+    return choice(0, False)[0]
 
 
 def parse(template: str) -> list[Node]:
@@ -57,13 +108,9 @@ def parse(template: str) -> list[Node]:
             stack[-1].append(("optional", own))
         elif kind == "var":
             match = re.search(r'match="([^"]*)"', rest)
-            form = match.group(1) if match else ".*"
-            if form in (".*", ".+"):
-                stack[-1].append(("any", int(form == ".+"), None))
-            elif b := re.fullmatch(r"\.\{(\d+),(\d*)\}", form):
-                stack[-1].append(("any", int(b[1]), int(b[2]) if b[2] else None))
-            else:
-                raise ValueError(f"unknown match: {form}")
+            stack[-1] += parse_match(match.group(1) if match else ".*")
+        elif kind == "notAfter" and stack == [[]] and (own := re.fullmatch(r'words="([^"]*)"', rest)):
+            stack[-1].append(("after", frozenset(spelled(own[1]))))
         else:
             raise ValueError(f"unknown markup: {kind}")
     if len(stack) > 1:
@@ -85,6 +132,7 @@ class Automaton:
     ways: list[list[int]]
     final: int
     anchor: tuple[str, ...]
+    barred: frozenset = frozenset()
 
     def longest(self, tokens: list[str], begin: int) -> tuple[int, int] | None:
         """The leftmost match from ``begin`` on, of those the longest, as (start, end) in words."""
@@ -113,13 +161,16 @@ class Automaton:
     def all(self, tokens: list[str]) -> list[tuple[int, int]]:
         out, at = [], 0
         while (m := self.longest(tokens, at)) is not None:
-            out.append(m)
+            if self.barred.isdisjoint(tokens[max(0, m[0] - 3) : m[0]]):
+                out.append(m)
             at = m[1]
         return out
 
 
 def compiled(name: str, template: str, anchor_words: int = 3) -> Automaton:
     nodes = parse(template)
+    barred = frozenset().union(*(n[1] for n in nodes if n[0] == "after"))
+    nodes = [n for n in nodes if n[0] != "after"]
     steps: list[tuple[str | None, int]] = []
     free: list[list[int]] = []
 
@@ -143,6 +194,13 @@ def compiled(name: str, template: str, anchor_words: int = 3) -> Automaton:
                 free[end].append(to)
                 free[at].append(to)
                 at = to
+            elif n[0] == "either":
+                to = state()
+                for way in n[1]:
+                    inner = state()
+                    free[at].append(inner)
+                    free[add(way, inner)].append(to)
+                at = to
             else:
                 _, least, most = n
                 for _ in range(least):
@@ -192,7 +250,7 @@ def compiled(name: str, template: str, anchor_words: int = 3) -> Automaton:
     if not size:
         raise ValueError("a template must have a mandatory word")
     anchor = max((tuple(r[i : i + size]) for r in runs for i in range(len(r) - size + 1)), key=lambda a: sum(map(len, a)))
-    return Automaton(name, steps, ways, final, anchor)
+    return Automaton(name, steps, ways, final, anchor, barred)
 
 
 def _spellings(anchor: tuple[str, ...]) -> list[tuple[str, ...]]:
@@ -244,17 +302,16 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: st
 
     Of a template's matches in a text, the leftmost and of those the longest is
     taken, then on from its end.  Matches of different templates may overlap.  Null
-    and empty texts have none; repeated rows, and rows with a null id, each give
-    theirs; other columns are ignored.  One narrow pass over two columns.
+    and empty texts have none; texts of any length are read whole; no documents give no
+    rows; repeated rows, and rows with a null id, each give theirs; other columns are
+    ignored.  One narrow pass over two columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
-    built: list[Scanner] = []
 
     def run(batches):
-        if not built:
-            built.append(Scanner(shared.value))
+        scanner = cached("licenses", hash(tuple(sorted(shared.value.items()))), lambda: Scanner(shared.value))
         for keys, texts in text_batches(batches, "doc_id", "text"):
-            hits = built[0].scan(texts)
+            hits = scanner.scan(texts)
             if hits:
                 r, name, s, e, n = (list(x) for x in zip(*hits))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)).cast(pa.int64()), pa.array(name), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "license_id", "start", "end", "words"])
@@ -274,7 +331,27 @@ _BSD_2 = """Redistribution and use in source and binary forms, with or without m
 <<var;name="number";original="1.";match=".{0,1}">> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 <<var;name="number";original="2.";match=".{0,1}">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
 documentation and/or other materials provided with the distribution. """
-_UNDER = '<<beginOptional>>This <<var;name="work";original="work";match=".{1,2}">> is<<endOptional>> <<var;name="verb";original="licensed";match=".{1,1}">> under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>the<<endOptional>> '
+_NOT = '<<notAfter;words="not never no nor neither cannot isn aren unless without">>'
+_VERB = '<<var;name="verb";original="licensed";match="licensed|released|distributed|redistributed|available|provided|published|relicensed|dual licensed|offered|issued|shared|covered|used|is|are|be|it|open sourced">>'
+_UNDER = (
+    _NOT + '<<beginOptional>>This <<var;name="work";original="work";match=".{1,2}">> is<<endOptional>> ' + _VERB + " under <<beginOptional>>the terms <<beginOptional>>and conditions<<endOptional>> of<<endOptional>> "
+    '<<beginOptional>>either <<beginOptional>>of<<endOptional>> <<beginOptional>><<var;name="other";original="the";match=".{1,12}">> or<<endOptional>><<endOptional>> <<beginOptional>>the<<endOptional>> '
+)
+_GNU = """This <<var;name="program";original="program";match="program|library|file|software|package">> is free software<<var;name="mark";original=":";match=".{0,1}">> you can redistribute it and/or modify it under the terms of
+    the GNU NAME as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version VERSION of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>.
+    This <<var;name="program";original="program";match="program|library|file|software|package">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<beginOptional>>NAME<<endOptional>> <<var;name="name";original="General Public License";match="|General Public License|Lesser General Public License|Library General Public License">> for more details"""
+
+
+def _gnu(name: str, version: str) -> str:
+    return _GNU.replace("NAME", name).replace("VERSION", version)
+
+
+def _versions(name: str, short: str, major: str) -> str:
+    """A notice: the name in words or in short, with a version such as 3, 3.0 or v3."""
+    numbers = f"version {major}|version {major}\\.0|{major}|{major}\\.0|v{major}|v\\. {major}|v{major}\\.0"
+    return _UNDER + f'<<var;name="name";original="{name}";match="{name}|{short}">> <<var;name="version";original="{major}";match="{numbers}">>'
+
 
 #: Templates of whole licenses, of file headers, and of one-line notices, by name.
 TEMPLATES = {
@@ -304,10 +381,30 @@ TEMPLATES = {
         Foundation, either version 3 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>. This program is distributed in the hope that it will be
         useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "all-rights-reserved-notice": "All rights reserved",
+    "GPL-2.0-header": _gnu("General Public License", "2"),
+    "LGPL-2.1-header": _gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _gnu("Lesser General Public License", "3"),
+    "AGPL-3.0-header": _gnu("Affero General Public License", "3"),
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        <<var;name="scheme";original="https";match="http|https">>://mozilla.org/MPL/2.0/""",
+    "EPL-2.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License <<beginOptional>>v<<endOptional>> <<beginOptional>>version<<endOptional>> 2.0 which
+        <<beginOptional>>accompanies this distribution, and<<endOptional>> is available at <<var;name="scheme";original="https";match="http|https">>://www.eclipse.org/legal/epl-""",
     "MIT-notice": _UNDER + "MIT License",
-    "Apache-2.0-notice": _UNDER + "Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
-    "GPL-3.0-notice": _UNDER + "GNU General Public License<<beginOptional>>, version<<endOptional>> 3<<beginOptional>>.0<<endOptional>>",
-    "GPL-2.0-notice": _UNDER + "GNU General Public License<<beginOptional>>, version<<endOptional>> 2<<beginOptional>>.0<<endOptional>>",
-    "CC-BY-NC-4.0-notice": _UNDER + "<<beginOptional>>Creative Commons<<endOptional>> CC BY-NC 4.0",
-    "CC-BY-4.0-notice": _UNDER + "<<beginOptional>>Creative Commons<<endOptional>> CC BY 4.0",
+    "Apache-2.0-notice": _UNDER + "Apache <<beginOptional>>Software<<endOptional>> License<<beginOptional>>, Version<<endOptional>> 2.0",
+    "GPL-3.0-notice": _versions("GNU General Public License", "GPL|GNU GPL|GPL License", "3"),
+    "GPL-2.0-notice": _versions("GNU General Public License", "GPL|GNU GPL|GPL License", "2"),
+    "LGPL-3.0-notice": _versions("GNU Lesser General Public License", "LGPL|GNU LGPL", "3"),
+    "LGPL-2.1-notice": _versions("GNU Lesser General Public License", "LGPL|GNU LGPL", "2\\.1"),
+    "AGPL-3.0-notice": _versions("GNU Affero General Public License", "AGPL|GNU AGPL", "3"),
+    "MPL-2.0-notice": _versions("Mozilla Public License", "MPL", "2"),
+    "EPL-2.0-notice": _versions("Eclipse Public License", "EPL", "2"),
+    "BSD-3-Clause-notice": _UNDER + '<<var;name="clauses";original="3";match="3|three|new|revised|modified">> <<beginOptional>>Clause<<endOptional>> BSD License',
+    "BSD-2-Clause-notice": _UNDER + '<<var;name="clauses";original="2";match="2|two|simplified">> <<beginOptional>>Clause<<endOptional>> BSD License',
+    "ISC-notice": _UNDER + "ISC License",
+    "Unlicense-notice": _UNDER + "Unlicense",
+    "CC0-1.0-notice": _UNDER + '<<beginOptional>>Creative Commons<<endOptional>> <<var;name="name";original="CC0";match="CC0|Zero|CC Zero">> <<var;name="version";original="1.0";match="1\\.0|version 1\\.0|v1\\.0">>',
+    **{f"CC-{k}-4.0-notice": _UNDER + f'<<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> <<var;name="name";original="CC {k}";match="CC {" ".join(k.split("-"))}|{long}">> <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>> 4.0'
+       for k, long in {"BY": "Attribution", "BY-SA": "Attribution ShareAlike|Attribution Share Alike", "BY-NC": "Attribution NonCommercial|Attribution Non Commercial", "BY-ND": "Attribution NoDerivatives|Attribution NoDerivs", "BY-NC-SA": "Attribution NonCommercial ShareAlike", "BY-NC-ND": "Attribution NonCommercial NoDerivatives"}.items()},
+    # Whole texts of licenses that are long, one a file.
+    **{p.stem: p.read_text() for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))},
 }

@@ -261,6 +261,45 @@ def test_apache_header_with_either_scheme_and_reserved_rights():
     assert {(r, n) for r, n, *_ in found} >= {(0, "Apache-2.0-header"), (1, "Apache-2.0-header"), (2, "all-rights-reserved-notice")}
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("This code is not under the MIT License.", set()),
+        ("Never release it: it isn't licensed under the MIT License", set()),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license", {"Apache-2.0-notice", "MIT-notice"}),
+        ("It is distributed under the terms of the LGPL v2.1.", {"LGPL-2.1-notice"}),
+        ("released under the GNU General Public License, version 3.0", {"GPL-3.0-notice"}),
+        ("Available under Creative Commons CC BY-SA 4.0", {"CC-BY-SA-4.0-notice"}),
+        ("published under the Mozilla Public License 2.0", {"MPL-2.0-notice"}),
+        ("the under MIT License", set()),
+    ],
+)
+def test_license_notices(text, names):
+    assert {n for _, n, *_ in licenses.Scanner(licenses.TEMPLATES).scan([text])} == names
+
+
+def test_whole_licenses_with_and_without_their_optional_parts():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    fill = lambda t: re.sub(r"<<var;[^>]*?original=\"([^\"]*)\"[^>]*>>", r"\1", re.sub(r"<<notAfter[^>]*>>", "", t))
+    for name, template in licenses.TEMPLATES.items():
+        full = re.sub(r"<<(?:begin|end)Optional>>", " ", fill(template))
+        bare = fill(template)
+        while "<<beginOptional>>" in bare:
+            bare = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", " ", bare, flags=re.S)
+        for text in (full, bare):
+            found = [x for x in scanner.scan([f"x y z {text} and more"]) if x[1] == name]
+            assert len(found) == 1 and found[0][-1] >= len(licenses.spelled(text)) - 12, name
+    gpl = ["GPL-2.0", "AGPL-3.0"]
+    wrong = [re.sub(r"<<[^>]*>>", " ", fill(licenses.TEMPLATES[p])).replace("warranty", "guarantee") for p in gpl]
+    assert not {n for _, n, *_ in scanner.scan(wrong)} & set(gpl)
+
+
+def test_matches_of_variables_are_expressions_over_words():
+    scan = licenses.Scanner({"x": 'a b <<var;name="n";original="o";match="copyright.{0,3}|(c)?\\\\s*mr (jones|smith)">> end'}).scan
+    for text, hit in (("a b copyright end", 1), ("a b copyright 1 2 3 end", 1), ("a b copyright 1 2 3 4 end", 0), ("a b mr smith end", 1), ("a b (c) mr jones end", 1), ("a b mr end", 0), ("a b end", 0)):
+        assert len(scan([text])) == hit, text
+
+
 # ---- toxicity
 
 
