@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .functions import measures
 from .operators import exact, graph, hybrid, near, semantic, tuning
 from .sources.code import glob_regex
@@ -25,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that may be one file dealt to as many tasks as there are cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a table that is fewer splits than there are cores dealt to all of them; a table of many splits is read as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,26 +95,11 @@ def semantic_topk(spark, sf_dir):
     return semantic.top_k(v, query, 0.20, 10).select("unit_id", F.round("score", 9).alias("score"))
 
 
-def _tf_cosine(d: DataFrame, threshold: float) -> DataFrame:
-    """Pairs by the cosine of raw word counts, through the words they share; d holds unit_id and words.
-
-    Words of many documents make the join long, so this is for pairs that near or
-    exact evidence proposes as well as all others: nothing is left out.
-    """
-    tf = d.select("unit_id", F.explode("words").alias("w")).groupBy("unit_id", "w").agg(F.count("*").cast("double").alias("tf"))
-    norm = tf.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    a = tf.select(F.col("unit_id").alias("ua"), "w", F.col("tf").alias("ta"))
-    b = tf.select(F.col("unit_id").alias("ub"), "w", F.col("tf").alias("tb"))
-    dots = a.join(b, "w").where("ua < ub").groupBy("ua", "ub").agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"))
-    scored = dots.join(norm.select(F.col("unit_id").alias("ua"), F.col("norm").alias("na")), "ua").join(norm.select(F.col("unit_id").alias("ub"), F.col("norm").alias("nb")), "ub")
-    return scored.select("ua", "ub", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("similarity"), F.lit("semantic").alias("method")).where(F.col("similarity") >= threshold)
-
-
 def _evidence(spark, sf_dir, semantic_threshold: float) -> DataFrame:
     d = documents(spark, sf_dir)
     same = exact.exact_pairs(d)
     alike = near.without(near.jaccard_pairs(d, T_NEAR), same)
-    merged = hybrid.evidence(same.unionByName(alike), _tf_cosine(d, semantic_threshold), d.select("unit_id", "uid"))
+    merged = hybrid.evidence(same.unionByName(alike), semantic.count_cosine_pairs(d, semantic_threshold), d.select("unit_id", "uid"))
     units = d.select("unit_id", F.col("tokens").alias("identifiers"), F.size("tokens").alias("stmt_count"))
     return hybrid.weak_evidence(merged, units, T_NEAR)
 
@@ -129,10 +116,26 @@ def gate_sweep(spark, sf_dir):
     return swept.select("semantic_min", "weak_identifier_jaccard_min", "statement_ratio_min", "predicted", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def _name(column: str) -> Column:
+    return F.regexp_replace(column, r"\W", "_")
+
+
 def unused_units(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
+    """Customers as units of a segment's file that call the customer of twice their number; open orders are main blocks' calls."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    called = F.format_string("x.Customer_%09d", F.col("c_custkey") * 2)
+    units = c.select(
+        F.col("c_custkey").alias("unit_id"), "c_name", _name("c_name").alias("name"), F.concat_ws(".", "c_mktsegment", _name("c_name")).alias("qualified_name"), F.col("c_mktsegment").alias("file_path"), F.concat_ws("::", "c_mktsegment", _name("c_name")).alias("uid"),
+        F.when(F.col("c_custkey") % 3 == 0, "class").when(F.col("c_custkey") % 3 == 1, "function").otherwise("method").alias("kind"), (F.col("c_acctbal") > 0).alias("is_public"), F.lit(False).alias("is_dunder"), (F.col("c_custkey") % 50 == 0).alias("is_exported"),
+        F.when(F.col("c_custkey") % 70 == 0, "x  # noqa: echolot").otherwise("x").alias("source"), F.array(called).alias("calls"),
+    )
+    # In every file x is an alias of each segment in turn, so that a call may resolve to a unit of any one file.
+    segments = units.groupBy("file_path").agg(F.count("*").alias("n")).select("file_path")
+    aliases = segments.select("file_path", F.map_from_arrays(F.array(F.lit("x")), F.array("file_path")).alias("aliases"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().join(c, "c_custkey")
+    main = o.groupBy(F.col("c_mktsegment").alias("file_path")).agg(F.collect_set(_name("c_name")).alias("main_calls"))
+    facts = aliases.join(main, "file_path", "left")
+    return graph.unused(units, graph.references(units, facts)).select(F.col("unit_id").alias("c_custkey"), "c_name")
 
 
 def suffix_resolve(spark, sf_dir):
@@ -166,7 +169,7 @@ def pair_metrics(spark, sf_dir):
 
 
 def kind_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("units"))
+    return sinks.count_by_kind(table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"))).withColumnRenamed("count", "units")
 
 
 def _flagged(spark, sf_dir, both: bool) -> DataFrame:
@@ -183,12 +186,17 @@ def suppress_flagged_both(spark, sf_dir):
 
 
 def call_resolution(spark, sf_dir):
-    """Suppliers as units named nation.supplier, parts' lines as calls by either name: who refers to whom."""
+    """Suppliers as units nation.supplier, order lines as calls: by bare name, or by an alias that files of returned lines lack."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    index = graph.suffix_index(s.select(F.col("s_suppkey").alias("unit_id"), F.concat_ws(".", F.regexp_replace("n_name", r"\W", "_"), F.regexp_replace("s_name", r"\W", "_")).alias("qualified_name"), F.regexp_replace("s_name", r"\W", "_").alias("name")))
-    calls = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).join(s.select(F.col("s_suppkey").alias("k"), F.regexp_replace("s_name", r"\W", "_").alias("call")), "k")
-    return calls.groupBy("call").agg(F.count("*").alias("calls")).join(index, F.col("call") == F.col("key")).select("unit_id", "calls")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    units = s.select(F.col("s_suppkey").alias("unit_id"), F.concat_ws(".", _name("n_name"), _name("s_name")).alias("qualified_name"), _name("s_name").alias("name"))
+    key = F.concat(F.lit("s"), F.col("k").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("file_path"), F.col("l_suppkey").alias("k"), (F.col("l_linenumber") % 2).alias("odd")).agg(F.count("*").alias("calls"))
+    named = lines.join(units.select(F.col("unit_id").alias("k"), "name"), "k").select("file_path", "calls", F.when(F.col("odd") == 1, F.col("name")).otherwise(key).alias("call"))
+    files = lines.where("file_path <> 'R'").select("file_path").distinct()
+    aliases = files.crossJoin(units.select(F.col("unit_id").alias("k"), F.col("qualified_name").alias("target"))).select("file_path", key.alias("alias"), "target")
+    found = graph.resolved(named, aliases).join(graph.suffix_index(units), F.col("target") == F.col("key"))
+    return found.groupBy("unit_id").agg(F.sum("calls").alias("calls"))
 
 
 def interval_overlap(spark, sf_dir):
@@ -271,7 +279,9 @@ def oracle_sql() -> dict[str, str]:
             pos AS (SELECT a.doc_id AS ua, b.doc_id AS ub FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id),
             c AS (SELECT g.a AS semantic_min, g.b AS weak_identifier_jaccard_min, g.c AS statement_ratio_min, count_if({swept} IS NOT NULL) AS predicted, count_if({swept} IS NOT NULL AND pos.ua IS NOT NULL) AS tp, (SELECT count(*) FROM pos) AS positives
               FROM g, ev LEFT JOIN pos ON pos.ua = ev.ua AND pos.ub = ev.ub GROUP BY 1, 2, 3) {_metrics_sql('c', 'semantic_min, weak_identifier_jaccard_min, statement_ratio_min')}""",
-        "unused_units": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+        "unused_units": """SELECT c_custkey, c_name FROM customer c WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+            AND NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey * 2 = c.c_custkey AND b.c_mktsegment = c.c_mktsegment)
+            AND NOT (c_custkey % 50 = 0 OR c_acctbal > 0 AND c_custkey % 3 < 2 OR c_custkey % 70 = 0)""",
         "suffix_resolve": r"""WITH h AS (SELECT page_id, string_split(regexp_extract(url, '//([^/?#]+)', 1), '.') AS p FROM pages),
             k AS (SELECT DISTINCT page_id, array_to_string(p[i:], '.') AS key FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM h)) SELECT key, count(*) AS units, min(page_id) AS lowest FROM k GROUP BY 1""",
         "glob_exclude": "SELECT page_id, url FROM pages WHERE NOT (" + " OR ".join(f"regexp_matches(url, '{like(g)}')" for g in (*GLOBS, "*.html")) + ")",
@@ -281,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "kind_summary": "SELECT lang AS kind, count(*) AS units FROM documents GROUP BY 1",
         "suppress_flagged_either": f"WITH {_NEAR}, f AS (SELECT doc_id FROM labels WHERE toxic = 1) {near_select} WHERE NOT (ua IN (FROM f) OR ub IN (FROM f))",
         "suppress_flagged_both": f"WITH {_NEAR}, f AS (SELECT doc_id FROM labels WHERE toxic = 1) {near_select} WHERE NOT (ua IN (FROM f) AND ub IN (FROM f))",
-        "call_resolution": "SELECT s.s_suppkey AS unit_id, c.calls FROM supplier s JOIN (SELECT s_name, count(*) AS calls FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) c USING (s_name)",
+        "call_resolution": "SELECT s_suppkey AS unit_id, CAST(count(*) AS BIGINT) AS calls FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_linenumber % 2 = 1 OR l_returnflag <> 'R' GROUP BY 1",
         "interval_overlap": "SELECT a.conv_id, count(*) AS pairs FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn AND NOT (a.turn + 1 < b.turn OR b.turn + 1 < a.turn) GROUP BY 1",
     }
 

@@ -60,8 +60,12 @@ def as_json(payload: dict) -> str:
     return json.dumps(payload, indent=2, sort_keys=True)
 
 
+def count_by_kind(units: DataFrame) -> DataFrame:
+    return units.groupBy("kind").count()
+
+
 def kind_counts(units: DataFrame) -> dict[str, int]:
-    return {r.kind: r["count"] for r in units.groupBy("kind").count().collect()}
+    return {r.kind: r["count"] for r in count_by_kind(units).collect()}
 
 
 def table(title: str, header: list[str], rows: list[tuple], width: int, total: int | None = None) -> str:
