@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 from pathlib import Path
@@ -132,6 +133,16 @@ class AnalysisResult:
         return 0 if self.evidence_pairs is None else max(0, self.evidence_pairs.count() - self.hybrid_duplicates.count())
 
 
+def remote(path: str | Path) -> bool:
+    return re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", str(path)) is not None
+
+
+def backend_failed(e: Exception) -> bool:
+    """Whether a model or its packages failed, here or in a worker: Spark puts a worker's error in words of its own error."""
+    kinds = ("ModuleNotFoundError", "ImportError", "RuntimeError", "SemanticBackendError")
+    return isinstance(e, (ImportError, RuntimeError)) or any(re.match(rf"\s*(?:[\w.]+: )*(?:\w+\.)*(?:{'|'.join(kinds)})\b", line) for line in str(e).splitlines())
+
+
 class Analyzer:
     """``embedder`` gives vectors; by default the model that the config names, if its packages are there."""
 
@@ -146,8 +157,11 @@ class Analyzer:
         return self.spark.createDataFrame([], columns)
 
     def extract(self, path: str | Path) -> DataFrame:
-        """FACTS of a file, or of all files of a tree that aren't excluded."""
-        c, path = self.config, Path(path).resolve()
+        """FACTS of a file, or of all files of a tree that aren't excluded; an address such as s3a://... is listed and read by executors."""
+        c = self.config
+        if remote(path):
+            return durable(code.facts(code.read_remote(self.spark, str(path), c.exclude_patterns, c.include_stubs), c.include_private, c.dedent_identifiers))
+        path = Path(path).resolve()
         if not path.exists():
             raise FileNotFoundError(f"Path does not exist: {path}")
         if path.is_file():
@@ -157,6 +171,8 @@ class Analyzer:
         return durable(code.facts(code.read_files(self.spark, paths, str(root)), c.include_private, c.dedent_identifiers))
 
     def analyze(self, path: str | Path) -> AnalysisResult:
+        if remote(path):
+            return self.analyze_facts(self.extract(path), path=path)
         path = Path(path).resolve()
         return self.analyze_facts(self.extract(path), code.entry_points(path if path.is_dir() else path.parent), path)
 
@@ -183,8 +199,7 @@ class Analyzer:
             try:
                 found = self.semantic(candidates, excluded)
             except Exception as e:
-                # Spark wraps what a worker raises, so any failure of the embedding job is one of the backend.
-                if not c.run_traditional:
+                if not c.run_traditional or not backend_failed(e):
                     raise
                 if not c.allow_semantic_fallback:
                     raise RuntimeError("Semantic analysis failed in combined mode; --allow-semantic-fallback keeps the traditional results of its scope, and --traditional-only runs without it.") from e
@@ -205,7 +220,9 @@ class Analyzer:
     def traditional(self, candidates: DataFrame) -> DataFrame:
         """Exact, then near pairs that aren't exact; pairs of tiny units are dropped as configured."""
         c, same = self.config, exact.exact_pairs(candidates)
-        sets = candidates.select("unit_id", F.col("identifiers").alias("tokens"), "file_path", "lineno", "end_lineno")
+        # Of units of one uid, such as a property and its setter, the identifiers of the last count for all.
+        last = hybrid.last_of_uid(candidates, ["identifiers"]).withColumnRenamed("identifiers", "tokens")
+        sets = candidates.select("unit_id", "uid", "file_path", "lineno", "end_lineno").join(last, "uid")
         alike = near.without(near.jaccard_pairs(sets, c.jaccard_threshold, same_place=True), same)
         alike = exact.first_wins(alike, candidates.select("unit_id", "uid"), {"jaccard": 0})
         if c.filter_tiny_traditional:
@@ -220,6 +237,8 @@ class Analyzer:
             return self._empty(schema.PAIRS)
         own = profiles.task(c.semantic_task, profiles.CHECK_TASK)
         prefix = profiles.instruction(c.model_name, False, own, c.instruction_prefix)
+        if check := getattr(self.embedder, "check", None):
+            check()
         self._vectors = durable(embedded(candidates, self.embedder, prefix, c.batch_size, ("unit_id", "kind", "file_path", "lineno", "end_lineno")))
         found = semantic.cosine_pairs(self._vectors, c.threshold)
         if excluded is not None:

@@ -8,6 +8,7 @@ import re
 import sys
 from collections.abc import Callable
 from importlib import metadata
+from importlib.util import find_spec
 from typing import Protocol
 
 import numpy as np
@@ -113,13 +114,25 @@ class SentenceModel:
             try:
                 _loaded[key] = SentenceTransformer(self.options["name"], revision=self.options["revision"], trust_remote_code=self.options["trust_remote_code"])
             except Exception as e:
-                raise SemanticBackendError(f"{self.options['name']} can't be loaded: {e}") from e
+                raise SemanticBackendError(self._said("can't be loaded", e)) from e
         return _loaded[key]
 
+    def _said(self, what: str, e: Exception) -> str:
+        return f"{self.options['name']} {what}: {e}. revision={self.options['revision']} trust_remote_code={self.options['trust_remote_code']} [{', '.join(f'{k}={v}' for k, v in versions().items())}]"
+
+    def check(self) -> None:
+        """Fails on the driver, before any job, where packages are missing or don't fit the model."""
+        if find_spec("sentence_transformers") is None:
+            raise ModuleNotFoundError("semantic analysis needs sentence-transformers")
+        preflight(self.options["name"])
+
     def __call__(self, texts: list[str], batch_size: int = 8) -> np.ndarray:
         model = self._model()
         limit, tokenizer = getattr(model, "max_seq_length", None), getattr(model, "tokenizer", None)
-        return encode_with_backoff(model.encode, [truncated(t, tokenizer, limit) for t in texts], batch_size)
+        try:
+            return encode_with_backoff(model.encode, [truncated(t, tokenizer, limit) for t in texts], batch_size)
+        except SemanticBackendError as e:
+            raise SemanticBackendError(self._said("can't encode", e)) from e
 
 
 def encode_with_backoff(encode: Callable, texts: list[str], batch_size: int) -> np.ndarray:

@@ -125,6 +125,32 @@ def test_fallback(spark, project):
         Analyzer(spark, AnalyzerConfig(run_traditional=False), Broken()).analyze(root)
 
 
+def broken(texts, batch_size):
+    raise KeyError("a mistake of ours")
+
+
+def test_mistakes_are_no_missing_backend(spark, project):
+    with pytest.raises(Exception, match="a mistake of ours"):
+        Analyzer(spark, AnalyzerConfig(allow_semantic_fallback=True), broken).analyze(project(PROJECT))
+
+
+def test_a_tree_by_its_address(spark, project):
+    root = project(PROJECT)
+    (root / "pkg/latin.py").write_bytes(b"# \xe9\ndef lost_in(): pass\n")
+    (root / "pkg/two.py").write_bytes(b"def crlf():\r\n    return 1\r\n")
+    here, there = (analyze_directory(spark, x, run_semantic=False) for x in (root, f"file://{root}"))
+    assert names(here.units) == names(there.units) and "crlf" in names(there.units) and "lost_in" not in names(there.units)
+    assert {r.source for r in here.units.collect()} == {r.source for r in there.units.collect()}
+
+
+def test_last_identifiers_of_a_uid_count(spark, project):
+    one, two = "    a = alpha + beta\n    return gamma(a, delta)\n", "    zz = other\n    return zz\n"
+    root = project({"a.py": f"def f():\n{one}\ndef f():\n{two}", "b.py": f"def g():\n{one}", "c.py": f"def h():\n{two}".replace("return zz", "return (zz, 1)")})
+    found = Analyzer(spark, AnalyzerConfig(run_semantic=False, run_unused=False, filter_tiny_traditional=False, jaccard_threshold=0.45)).analyze(root)
+    name = {r.unit_id: r.name for r in found.units.collect()}
+    assert {frozenset((name[r.ua], name[r.ub])) for r in found.traditional_duplicates.where("method = 'jaccard'").collect()} == {frozenset("fh"), frozenset("f")}
+
+
 def test_both_unused_pairs_are_dropped(spark, project):
     same = "def _{0}(a):\n    b = a + {1}\n    c = b * 2\n    return c\n"
     root = project({"a.py": same.format("p", 1) + same.format("q", 2)})
