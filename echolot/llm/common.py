@@ -48,7 +48,17 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if urlparse(path).scheme in ("", "file"):
         atexit.register(shutil.rmtree, urlparse(path).path, True)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, on whatever file system, once nothing is to read it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:

@@ -100,8 +100,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """A row for each piece: doc_id, piece, start and words (of the text), bin, fill (words in the bin), certified, full.
 
     ``bin`` is a struct (round, part, bin).  A text of more than ``capacity`` words
-    is cut into full pieces and a rest.  Texts without words, and null ones, have no
-    piece.  Rows with a null or repeated id are packed like all others, each once.
+    is cut into full pieces and a rest, however long it is.  Texts without words, and
+    null ones, have no piece; no documents give no rows.  Rows with a null or repeated id
+    are packed like all others, each once.  Of pieces of one size the lower id goes first,
+    and of bins with the same room the one that got it last.
     Other columns are ignored; ``length`` puts another measure, an expression over
     the columns of ``docs``, in place of the number of words.
 
@@ -111,7 +113,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     Partitions with a gap keep the bins that are full,
     and pool their other pieces; these are dealt out
     to partitions anew and packed again.  A round is kept if it needs fewer bins,
-    for at most ``rounds`` rounds.
+    for at most ``rounds`` rounds, a bound of the work: pieces are in bins whenever it ends.
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 at least")

@@ -72,8 +72,13 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     return placed.join(F.broadcast(filled), slot).select(*(f"`{c}`" for c in df.columns), f"`{slot}`", f"`{shard}`")
 
 
-def write(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS) -> None:
-    """Writes each shard of ``df`` as a Parquet folder of its own; rows of a shard first meet in one task."""
+def write(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, files: int = 16) -> None:
+    """Writes each shard of ``df`` as a Parquet folder of its own, of at most ``files`` files.
+
+    Rows of a shard meet in that many tasks, by a hash of the whole row, so that neither
+    a large shard nor a hot key is one task's; empty tables write no folder of a shard.
+    """
     placed = place(df, key, shards, slots)
     shard = placed.columns[-1]
-    placed.drop(placed.columns[-2]).repartition(F.col(f"`{shard}`")).write.partitionBy(shard).parquet(path)
+    salt = F.pmod(F.xxhash64(*(f"`{c}`" for c in df.columns)), F.lit(files))
+    placed.drop(placed.columns[-2]).repartition(F.col(f"`{shard}`"), salt).write.partitionBy(shard).parquet(path)

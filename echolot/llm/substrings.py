@@ -478,7 +478,7 @@ def _sorted(some: np.ndarray, prefix: int, raw: bytes, start, length) -> np.ndar
     if int((length[some] - prefix).clip(0).sum()) * 4 <= SORT_BYTES:
         keys = [raw[4 * (s + prefix) : 4 * (s + n)] for s, n in zip(start[some].tolist(), length[some].tolist())]
         return some[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
-    longer = prefix * 2
+    longer = max(16, prefix * 2)
     ends = np.minimum(length[some], longer)
     keys = [raw[4 * (s + prefix) : 4 * (s + e)] for s, e in zip(start[some].tolist(), ends.tolist())]
     parts: dict[bytes, list[int]] = {}

@@ -67,6 +67,7 @@ class Model:
     threshold: float = 0.5
 
     def __post_init__(self) -> None:
+        self._paired = self.factor.any(1)
         self._seen = np.zeros(1 << _BITS, bool)
         self._seen[(self.terms >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -87,10 +88,13 @@ class Model:
         """bias + sum of weights + half of (squared sum - sum of squares) of factors."""
         out = np.full(n, self.bias)
         if len(rows):
-            v = self.factor[places]
-            total = np.zeros((n, v.shape[1]))
-            np.add.at(total, rows, v)
-            out += np.bincount(rows, self.weight[places], n) + 0.5 * ((total**2).sum(1) - np.bincount(rows, (v**2).sum(1), n))
+            out += np.bincount(rows, self.weight[places], n)
+            # Most factors are zero; the vectors of the others are taken one coordinate at a time.
+            some = np.flatnonzero(self._paired[places])
+            rows, places = rows[some], places[some]
+            for f in range(self.factor.shape[1] if len(some) else 0):
+                x = self.factor[places, f].astype(np.float64)
+                out += 0.5 * (np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -99,57 +103,87 @@ class Model:
 
 
 def fit_machine(texts_terms: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factor_penalty: float = FACTOR_PENALTIES[-1], weight_penalty: float = WEIGHT_PENALTY, rate: float = 0.1, seed: int = 7) -> Model:
-    """Logistic loss, proximal Adagrad over mini-batches; both classes weigh alike.  texts_terms: places of terms, for each text.
+    return fit_machines(texts_terms, labels, terms, (factor_penalty,), weight_penalty, rate, seed)[0]
 
-    After each step weights and factor vectors of the step's terms are shortened by
-    their penalties, so that terms which tell nothing end at zero.
+
+def fit_machines(texts_terms: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factor_penalties: tuple[float, ...], weight_penalty: float = WEIGHT_PENALTY, rate: float = 0.1, seed: int = 7) -> list[Model]:
+    """A model for each penalty, over the same mini-batches: logistic loss, proximal Adagrad; both classes weigh alike.
+
+    texts_terms: places of terms, for each text.  After each step weights and factor
+    vectors of the step's terms are shortened by their penalties, so that terms which
+    tell nothing end at zero.
     """
     rng = np.random.default_rng(seed)
     n, k = len(labels), len(terms)
-    w, v, b = np.zeros(k), rng.normal(0, 0.02, (k, FACTORS)), 0.0
-    gw, gv, gb = np.full(k, 1e-6), np.full(k, 1e-6), 1e-6
+    # In single precision: with several models these are the driver's largest arrays.
+    first = rng.normal(0, 0.02, (k, FACTORS)).astype(np.float32)
+    states = [_State(np.zeros(k), first.copy(), np.full(k, 1e-6), np.full(k, 1e-6), penalty) for penalty in factor_penalties]
     share = labels.mean() if n else 0.5
     cost = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     sizes = np.array([len(t) for t in texts_terms], np.int64)
     epochs = max(LEAST_EPOCHS, -(-STEPS // max(1, -(-n // 256))))
+    there, place = np.zeros(k, bool), np.zeros(k, np.int64)
     for _ in range(epochs if k else 0):
         order = rng.permutation(n)
         for i in range(0, n, 256):
             some = order[i : i + 256]
-            m = len(some)
-            u, p = np.unique(np.concatenate([texts_terms[j] for j in some]), return_inverse=True)
-            r = np.repeat(np.arange(m), sizes[some])
-            vu = v[u]
-            live = np.flatnonzero(vu.any(1))
-            held = np.zeros(len(u), bool)
-            held[live] = True
+            flat = np.concatenate([texts_terms[j] for j in some])
+            # The step's terms in order, and each entry's place among them, without a sort.
+            there[flat] = True
+            u = np.flatnonzero(there)
+            there[u] = False
+            place[u] = np.arange(len(u))
+            r = np.repeat(np.arange(len(some)), sizes[some])
+            for s in states:
+                s.step(u, place[flat], r, labels[some], cost[some], rate, weight_penalty)
+    return [Model(terms, s.b, s.w, s.v) for s in states]
+
+
+@dataclass
+class _State:
+    w: np.ndarray
+    v: np.ndarray
+    gw: np.ndarray
+    gv: np.ndarray
+    factor_penalty: float
+    b: float = 0.0
+    gb: float = 1e-6
+
+    def step(self, u: np.ndarray, p: np.ndarray, r: np.ndarray, labels: np.ndarray, cost: np.ndarray, rate: float, weight_penalty: float) -> None:
+        m, w, v = len(labels), self.w, self.v
+        vu = v[u]
+        held = vu.any(1)
+        live = np.flatnonzero(held)
+        z = self.b + np.bincount(r, w[u][p], m)
+        if len(live):
             pairs = np.flatnonzero(held[p])
             rp, pp = r[pairs], p[pairs]
-            total = np.stack([np.bincount(rp, vu[pp, f], m) for f in range(FACTORS)], 1)
-            z = b + np.bincount(r, w[u][p], m) + 0.5 * ((total**2).sum(1) - np.bincount(rp, (vu**2).sum(1)[pp], m))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) * cost[some] / m
-            dw = np.bincount(p, g[r], len(u))
-            gw[u] += dw**2
-            step = rate / np.sqrt(gw[u])
-            x = w[u] - step * dw
-            w[u] = np.sign(x) * np.maximum(np.abs(x) - step * weight_penalty, 0)
-            if len(live):
-                at = u[live]
-                dv = np.stack([np.bincount(pp, g[rp] * total[rp, f], len(u))[live] for f in range(FACTORS)], 1) - vu[live] * dw[live, None]
-                gv[at] += (dv**2).mean(1)
-                step = 0.3 * rate / np.sqrt(gv[at])
-                x = vu[live] - step[:, None] * dv
-                v[at] = x * np.maximum(1 - step * factor_penalty / np.maximum(np.sqrt((x**2).sum(1)), 1e-12), 0)[:, None]
-            db = g.sum()
-            gb += db**2
-            b -= rate * db / np.sqrt(gb)
-    return Model(terms, b, w, v)
+            own = vu[pp]
+            total = np.stack([np.bincount(rp, own[:, f], m) for f in range(FACTORS)], 1)
+            z += 0.5 * ((total**2).sum(1) - np.bincount(rp, (vu**2).sum(1)[pp], m))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * cost / m
+        dw = np.bincount(p, g[r], len(u))
+        self.gw[u] += dw**2
+        step = rate / np.sqrt(self.gw[u])
+        x = w[u] - step * dw
+        w[u] = np.sign(x) * np.maximum(np.abs(x) - step * weight_penalty, 0)
+        if len(live):
+            at = u[live]
+            gr = g[rp]
+            dv = np.stack([np.bincount(pp, gr * total[rp, f], len(u))[live] for f in range(FACTORS)], 1) - vu[live] * dw[live, None]
+            self.gv[at] += (dv**2).mean(1)
+            step = 0.3 * rate / np.sqrt(self.gv[at])
+            x = vu[live] - step[:, None] * dv
+            v[at] = x * np.maximum(1 - step * self.factor_penalty / np.maximum(np.sqrt((x**2).sum(1)), 1e-12), 0)[:, None]
+        db = g.sum()
+        self.gb += db**2
+        self.b -= rate * db / np.sqrt(self.gb)
 
 
 def pruned(model: Model) -> Model:
     """Without the terms that weigh nothing, alone or in pairs."""
     some = (model.weight != 0) | model.factor.any(1)
-    return Model(model.terms[some], model.bias, model.weight[some], model.factor[some], model.threshold)
+    return Model(model.terms[some], model.bias, model.weight[some], model.factor[some].astype(np.float64), model.threshold)
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -175,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     is held back to choose the penalty of the factors and to set the threshold.
     All terms of ``least_texts`` fitted rows or more take part.  Without rows of both
     classes, or where the penalties leave no term, the model scores every text
-    alike, at 0, so that none is toxic.
+    alike, at 0, so that none is toxic.  Texts count whole, however long; of tied ids
+    and repeated rows each is a fitted row; columns of other names are ignored.
     """
     spark = docs.sparkSession
     marks = only(labels, doc_id=label_id, label=label).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
@@ -233,8 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = y[held].mean() if held.any() else 0.0
     cost = np.where(y[held] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     best, least_loss, best_z = model, np.inf, np.zeros(0)
-    for penalty in FACTOR_PENALTIES[::-1]:
-        one = fit_machine(own, y[~held], terms, penalty)
+    for one in fit_machines(own, y[~held], terms, FACTOR_PENALTIES[::-1]):
         if not (one.weight.any() or one.factor.any()):
             continue
         z = np.clip(one.logits(rows, places, len(other)), -30, 30)
@@ -249,8 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (of 0 to 1) and toxic (the score reaches the model's threshold) of every row.
 
-    Null and empty texts have the score of a text without terms.  Repeated rows,
-    and rows with a null id, each give a row; other columns are ignored.
+    Null and empty texts have the score of a text without terms; texts of any length are
+    read whole; no documents give no rows.  Repeated rows, and rows with a null id, each
+    give a row; a score that ties with the threshold is toxic; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -263,7 +298,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose text isn't toxic, in the same columns; rows stay or go where they are read."""
+    """The rows whose text isn't toxic, in the same columns; rows stay or go where they are read, nulls and repeated rows too.  Columns of any name are carried along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -355,6 +355,39 @@ def test_machine_with_production_defaults(spark):
     assert ((scores >= model.threshold) == [y for i, _, y in both if i >= 700]).mean() > 0.9
 
 
+def test_query_against_plain_scores(spark):
+    """op5's way from tables to scores: terms word by word, and the machine's sum over all pairs of them."""
+    data = labelled(300, 4)
+    d = docs(spark, [(i, t, "", "", 0) for i, t, _ in data] + EDGE)
+    model = toxicity.fit(d, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+
+    def terms(text):
+        found = set()
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            found |= {int(t) for _, own in toxicity.all_terms([w]) for t in own}
+        return sorted(place[t] for t in found if t in place)
+
+    got = Counter((r.doc_id, round(r.score, 9), r.toxic) for r in toxicity.score(d, model).collect())
+    expect = Counter()
+    for i, t, *_ in data + EDGE:
+        own = terms(t)
+        z = model.bias + sum(model.weight[p] for p in own) + sum(model.factor[a] @ model.factor[b] for k, a in enumerate(own) for b in own[k + 1 :])
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        expect[i, round(p, 9), bool(p >= model.threshold)] += 1
+    assert got == expect
+
+
+def test_models_fitted_together_are_those_fitted_alone():
+    r = np.random.default_rng(2)
+    rows = [np.unique(r.integers(0, 50, r.integers(1, 20))) for _ in range(300)]
+    y = np.array([float(len(x) % 2) for x in rows])
+    terms = np.arange(50).astype(np.uint64)
+    for penalty, one in zip((0.003, 0.03), toxicity.fit_machines(rows, y, terms, (0.003, 0.03))):
+        alone = toxicity.fit_machine(rows, y, terms, penalty)
+        assert np.array_equal(one.weight, alone.weight) and np.array_equal(one.factor, alone.factor) and one.bias == alone.bias
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark), lab)

@@ -210,14 +210,17 @@ def test_pack_holds_every_word_once(spark):
         assert sum(n for _, n in lengths[i]) == sum(len((u or "").split()) for j, u in rows if j == i)
     assert sorted(lengths[503]) == [(k, min(32, 1000 - k)) for k in range(0, 1000, 32)]
     assert packing.pack(docs(spark, [])).count() == 0
+    long = packing.pack(docs(spark, [(1, "ab " * 300_000)])).collect()
+    assert sum(x.words for x in long) == 300_000 and len(long) == -(-300_000 // packing.CAPACITY)
 
 
 def test_gaps_are_exchanged(spark):
     # Sizes that best-fit decreasing packs badly in small partitions.
-    rows = [(i, "w " * n) for i, n in enumerate([44, 24, 24, 22, 21, 17, 8, 8, 6, 6] * 6)]
+    r = random.Random(5)
+    rows = [(i, "w " * r.choice([44, 31, 24, 22, 21, 17, 16, 8, 6])) for i in range(240)]
     one = packing.pack(docs(spark, rows), capacity=60, partition_pieces=10, rounds=0).collect()
     more = packing.pack(docs(spark, rows), capacity=60, partition_pieces=10, rounds=4).collect()
-    assert len({x.bin for x in more}) <= len({x.bin for x in one}) and sum(x.words for x in more) == sum(x.words for x in one)
+    assert len({x.bin for x in more}) < len({x.bin for x in one}) and sum(x.words for x in more) == sum(x.words for x in one)
     # Certified partitions use as few bins as any packing can.
     parts = defaultdict(list)
     for x in one:
@@ -351,7 +354,7 @@ def test_extraction_against_brute_force(spark):
         for p in range(len(w) - least + 1):
             if host:
                 occurs[host, tuple(w[p : p + least])].add((i, u, h))
-    for options in ({}, {"task_chars": 300, "broadcast_bytes": -1}):
+    for options in ({}, {"task_chars": 300, "task_words": 40, "broadcast_bytes": -1}):
         got = boilerplate.extract(spark.createDataFrame(rows, PAGES), least=least, **options).collect()
         assert len(got) == len(rows)
         expect = []
@@ -364,6 +367,21 @@ def test_extraction_against_brute_force(spark):
         assert Counter((x.page_id, x.url, x.host, tuple(re.findall(r"[^\W_]+", x.text.lower())), x.words, x.removed) for x in got) == Counter(expect)
         assert sum(x.removed for x in got) > 100
     assert boilerplate.extract(spark.createDataFrame([], PAGES)).count() == 0
+    body = " ".join(f"w{i}" for i in range(60_000))
+    long = boilerplate.extract(spark.createDataFrame([(i, "//h/", f"<p>{body}</p><p>{t}</p>", "", 0) for i, t in enumerate(("one two", "three"))], PAGES)).orderBy("page_id").collect()
+    assert [(x.text, x.words - x.removed) for x in long] == [("one two", 2), ("three", 1)]
+
+
+def test_lengths_that_another_page_shares():
+    r = random.Random(1)
+    for _ in range(200):
+        rows = sorted(("".join(r.choice("ab") for _ in range(r.randint(1, 6))), r.choice([-1, 0, 1, 2])) for _ in range(r.randint(1, 9)))
+        common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        lcp = np.array([0] + [common(a, b) for (a, _), (b, _) in zip(rows, rows[1:])])
+        page = np.array([p if p >= 0 else -1 - i for i, (_, p) in enumerate(rows)])
+        got = boilerplate.shared_lengths(lcp, page, np.array([len(x) for x, _ in rows]))
+        for i, (x, p) in enumerate(rows):
+            assert got[i] == (len(x) if p < 0 else max((common(x, y) for j, (y, q) in enumerate(rows) if j != i and (q != p or q < 0)), default=0))
 
 
 def test_visible_text():
