@@ -45,6 +45,8 @@ def spelled(text: str) -> list[str]:
 Node = tuple  # ("word", w) | ("any", least, most or None) | ("optional", [nodes]) | ("either", [[nodes], ...]) | ("after", {words})
 
 _COUNT = re.compile(r"\*|\+|\?|\{(\d+),?(\d*)\}")
+#: White space or its opposite, with how often; templates that were written as JSON may hold its backslash twice.
+_SPACE = re.compile(r"\\+([sS])([*+?]?)")
 
 
 def parse_match(form: str) -> list[Node]:
@@ -68,6 +70,10 @@ def parse_match(form: str) -> list[Node]:
             elif form[at] == ".":
                 least, most, at = counted(at + 1)
                 ways[-1].append(("any", least, most))
+            elif m := _SPACE.match(form, at):
+                if m[1] == "S":
+                    ways[-1].append(("any", int(m[2] == "+"), None if m[2] in ("*", "+") else 1))
+                at = m.end()
             elif form[at] == "(":
                 own, at = choice(at + (3 if form.startswith("(?:", at) else 1), True)
                 if at >= len(form):
@@ -79,10 +85,10 @@ def parse_match(form: str) -> list[Node]:
             elif form[at] in "[]{}*+?^$":
                 raise ValueError(f"unknown match: {form}")
             else:
-                to = at + 1
-                while to < len(form) and form[to] not in "|.()[]{}*+?^$":
+                to = at
+                while to < len(form) and form[to] not in "|.()[]{}*+?^$" and not _SPACE.match(form, to):
                     to += 2 if form[to] == "\\" else 1
-                ways[-1] += [("word", w) for w in spelled(re.sub(r"\\[sS][*+?]?|\\", " ", form[at:to]))]
+                ways[-1] += [("word", w) for w in spelled(form[at:to])]
                 at = to
         if inside != (at < len(form)):
             raise ValueError(f"unknown match: {form}")
